@@ -65,6 +65,23 @@ def globally_indexed(df: DataFrame, order: list, index: str) -> DataFrame:
     return d.join(o, "_part").withColumn(index, F.col("_offset") + F.col("_mono").bitwiseAND(F.lit(low))).drop("_part", "_offset", "_mono")
 
 
+def salted_join(left: DataFrame, left_key: str, right: DataFrame, right_key: str, how: str = "left", share: int = 1000, salts: int = 32) -> DataFrame:
+    """left joined to right, which has one row or few for each key.
+
+    Keys that hold over 1 / share of left's rows are hot: there can be at most
+    `share` of them, so their list is bounded. Left's rows of a hot key are dealt
+    to `salts` tasks, and right's rows of it are repeated for each."""
+    counts = left.groupBy(F.col(left_key).alias("_k")).count()
+    total = left.select(F.lit(1)).count()
+    hot = [r["_k"] for r in counts.filter((F.col("count") * share > total) & (F.col("count") > 1000) & F.col("_k").isNotNull()).collect()]
+    if not hot:
+        return left.join(right, F.col(left_key) == F.col(right_key), how)
+    number = F.when(F.col(left_key).isin(hot), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes if t in ("bigint", "int", "string")]), F.lit(salts))).otherwise(F.lit(0).cast("long"))
+    a = left.withColumn("_salt_l", number)
+    b = right.withColumn("_salt_r", F.explode(F.when(F.col(right_key).isin(hot), F.array(*[F.lit(i).cast("long") for i in range(salts)])).otherwise(F.array(F.lit(0).cast("long")))))
+    return a.join(b, (F.col(left_key) == F.col(right_key)) & (F.col("_salt_l") == F.col("_salt_r")), how).drop("_salt_l", "_salt_r")
+
+
 def blocks(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows whose lengths add up to at most limit; a longer row stands alone."""
     start, total = 0, 0
