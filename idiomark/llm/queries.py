@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from idiomark.llm import packing
+from idiomark.llm import langid, licenses, media, mixing, packing
 
 QUERIES = {
+    "op1_langid": langid.query,
+    "op4_mixing": mixing.query,
     "op7_packing": packing.query,
+    "op9_licenses": licenses.query,
+    "op10_media": media.query,
+}
+ORACLES: dict[str, str] = {
+    "op9_licenses": licenses.SQL,
 }
-ORACLES: dict[str, str] = {}
