@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from idiomark.llm import langid, licenses, media, mixing, packing
+from idiomark.llm import ann, langid, licenses, media, mixing, packing, toxicity
 
 QUERIES = {
     "op1_langid": langid.query,
+    "op3_ann": ann.query,
     "op4_mixing": mixing.query,
+    "op6_toxicity": toxicity.query,
     "op7_packing": packing.query,
     "op9_licenses": licenses.query,
     "op10_media": media.query,
