@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from idiomark.llm import ann, langid, licenses, media, mixing, packing, toxicity
+from idiomark.llm import ann, jaccard, langid, licenses, media, mixing, packing, toxicity
 
 QUERIES = {
     "op1_langid": langid.query,
     "op3_ann": ann.query,
     "op4_mixing": mixing.query,
+    "op5_jaccard": jaccard.query,
     "op6_toxicity": toxicity.query,
     "op7_packing": packing.query,
     "op9_licenses": licenses.query,
