@@ -7,7 +7,7 @@ masks are counted per language, the share that chance alone would set is taken
 off, and the largest count decides.
 
 The filter is learned on the driver from a bounded sample of labelled rows
-(`sample` rows of at most `sample_chars` characters together, in seeded order).
+(`sample` rows with at most `sample_chars` characters together, in seeded order).
 Prediction reads every whole text, long ones in overlapping segments.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; a
@@ -113,9 +113,9 @@ class Filter:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """(language, score) of each text; the score is the chosen language's share of the corrected counts."""
-        hit, total, alpha = self.counts([t or "" for t in texts])
         if not self.langs:
             return [UND] * len(texts), np.zeros(len(texts))
+        hit, total, alpha = self.counts([t or "" for t in texts])
         real = np.maximum(0.0, (hit - total[:, None] * self.chance) / (1 - self.chance))
         best, mass = real.argmax(1), real.sum(1)
         score = np.where(mass > 0, real.max(1) / np.maximum(mass, 1e-12), 0.0)
@@ -129,6 +129,10 @@ class Filter:
         return out, np.clip(score, 0.0, 1.0)
 
 
+def table_of(kind) -> np.ndarray:
+    return np.zeros(1 << LOG_ROWS, kind)
+
+
 def learn(rows: list[tuple[str, str]], least: int = 3, share: float = 0.25) -> Filter:
     """Filter from (text, language) rows.
 
@@ -138,8 +142,10 @@ def learn(rows: list[tuple[str, str]], least: int = 3, share: float = 0.25) -> F
     for text, lang in rows:
         texts.setdefault(lang, []).append(text)
     langs = sorted(texts)
+    if not langs:
+        return Filter(table_of(np.uint8), [], UND)
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(langs) <= np.iinfo(k).bits)
-    table = np.zeros(1 << LOG_ROWS, kind)
+    table = table_of(kind)
     for order in ORDERS:
         found, counts, owner = [], [], []
         for i, lang in enumerate(langs):
@@ -155,7 +161,7 @@ def learn(rows: list[tuple[str, str]], least: int = 3, share: float = 0.25) -> F
         take = (own >= 0) & (rate >= share * top[inverse])
         for s in slots(h[take]):
             np.bitwise_or.at(table, s, (np.ones(int(take.sum()), kind) << own[take].astype(kind)).astype(kind))
-    prior = max(langs, key=lambda x: (len(texts[x]), x)) if langs else UND
+    prior = max(langs, key=lambda x: (len(texts[x]), x))
     return Filter(table, langs, prior)
 
 
@@ -164,23 +170,24 @@ def taught(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 != 2, F.lit(True))
 
 
-def fit(df: DataFrame, sample: int = 8000, sample_chars: int = 12_000_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filter:
+def fit(df: DataFrame, sample: int = 4000, sample_chars: int = 12_000_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filter:
     """Learns from `sample` labelled rows at most, the first in seeded order, up to `sample_chars` characters together.
 
-    Rows longer than sample_chars / 100 are not sampled; they are predicted like any other."""
-    rows = (
-        df.filter(taught(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= sample_chars // 100))
-        .select(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("u"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-        .orderBy("u", "i")
-        .limit(sample)
-        .collect()
-    )
+    Rows longer than sample_chars / 100 are not sampled; they are predicted like any other. Their ids are drawn first,
+    so that no more texts than these travel."""
+    spark = df.sparkSession
+    named = df.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    able = named.filter(taught("i") & F.col("t").isNotNull() & F.col("l").isNotNull() & (F.length("t") <= sample_chars // 100))
+    drawn = able.select("i", F.xxhash64(F.lit(seed), "i").alias("u")).orderBy("u", "i").limit(sample).collect()
+    if not drawn:
+        return learn([])
+    ids = F.broadcast(spark.createDataFrame(sorted({(r["i"], r["u"]) for r in drawn if r["i"] is not None}), "i string, u long"))
     got, chars = [], 0
-    for r in rows:
-        chars += len(r["t"])
+    for _, text, lang in sorted((r["u"], r["t"], r["l"]) for r in able.join(ids, "i").collect()):
+        chars += len(text)
         if chars > sample_chars:
             break
-        got.append((r["t"], r["l"]))
+        got.append((text, lang))
     return learn(got)
 
 
