@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from idiomark.llm import ann, jaccard, langid, licenses, media, mixing, packing, toxicity
+from idiomark.llm import ann, jaccard, langid, licenses, media, mixing, packing, tokenfile, toxicity
 
 QUERIES = {
     "op1_langid": langid.query,
+    "op2_tokenfile": tokenfile.query,
     "op3_ann": ann.query,
     "op4_mixing": mixing.query,
     "op5_jaccard": jaccard.query,
