@@ -35,79 +35,91 @@ STRETCH = (np.searchsorted(SQUASH, np.arange(4096)) - 2048).clip(-2047, 2047).as
 
 
 class Model:
-    """State of `lanes` blocks; predict() and update() alternate, once for each id."""
+    """State of `lanes` blocks; predict() and update() alternate, once for each id.
+
+    Tables of all lanes are flat; an entry of `guess` is a predicted id and, in its
+    low byte, how sure it is. `adapt` has two estimates for each of the three orders."""
 
     def __init__(self, lanes: int):
         self.n = lanes
-        lane = np.arange(lanes, dtype=np.int64)
-        self.slot0 = np.stack([lane * SLOTS, (lanes + lane) * SLOTS])
-        self.guess, self.sure = np.zeros(2 * lanes * SLOTS, np.uint16), np.zeros(2 * lanes * SLOTS, np.uint8)
-        self.count0, self.count = lane * SLOTS, np.zeros(lanes * SLOTS, np.uint8)
+        self.lane = np.arange(lanes, dtype=np.int64)
+        self.slot0 = np.stack([self.lane, lanes + self.lane]) * SLOTS
+        self.guess = np.zeros(2 * lanes * SLOTS, np.uint32)
+        self.count0, self.count = self.lane * SLOTS, np.zeros(lanes * SLOTS, np.uint8)
         self.best, self.best_n = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         three = np.arange(3 * lanes, dtype=np.int64).reshape(3, lanes)
-        self.by_sure0, self.by_past0 = three * 16, three * 4
+        self.adapt0 = np.stack([three * 16, 48 * lanes + three * 4])
         start = np.asarray([30000, 16000, 4000], np.int32)
-        self.by_sure = np.repeat(start, lanes * 16)
-        self.by_past = np.repeat(start, lanes * 4)
-        self.past = np.zeros((3, lanes), np.int64)
+        self.adapt = np.concatenate([np.repeat(start, lanes * 16), np.repeat(start, lanes * 4)])
+        self.context = np.zeros((2, 3, lanes), np.int64)  # confidence; the last two outcomes
         self.w = np.full((2, 3, lanes), 1 << 15, np.int32)
+        self.ids, self.ok = np.zeros((3, lanes), np.int64), np.zeros((3, lanes), bool)
         self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.head0 = lane * HEADS
+        self.head0 = self.lane * HEADS
         even = (np.arange(1, HEADS, dtype=np.int32) * FULL) // HEADS
         self.heads = np.tile(even, (lanes * HEADS, 1))
         self.head = np.zeros(lanes, np.int64)
-
-    def predict(self) -> np.ndarray:
-        """Cumulative frequencies (3, lanes) of the three predictions, of 65536 in all; the rest is the escape."""
-        one = (self.last * 40503 >> 5) & (SLOTS - 1)
-        two = ((self.last * 40503 + self.last2 * 60493) >> 6) & (SLOTS - 1)
-        self.at = self.slot0 + np.stack([two, one])
-        got, sure = self.guess[self.at].astype(np.int64), self.sure[self.at].astype(np.int64)
-        self.ids = np.concatenate([got, self.best[None]])
-        self.conf = np.concatenate([sure, np.minimum(self.best_n, 15)[None]])
-        ok = self.conf > 0
-        ok[1] &= ~(ok[0] & (self.ids[1] == self.ids[0]))
-        ok[2] &= ~((ok[0] & (self.ids[2] == self.ids[0])) | (ok[1] & (self.ids[2] == self.ids[1])))
-        self.ok = ok
-        self.i_sure, self.i_past = self.by_sure0 + self.conf, self.by_past0 + self.past
-        self.p_sure, self.p_past = self.by_sure[self.i_sure], self.by_past[self.i_past]
-        self.s_sure, self.s_past = STRETCH[self.p_sure >> 4], STRETCH[self.p_past >> 4]
-        dot = (self.w[0] * self.s_sure + self.w[1] * self.s_past) >> 16
-        self.p = SQUASH[np.clip(dot, -2047, 2047) + 2048]
-        p = np.where(ok, np.clip(self.p, 24, 4096 - 24), 0).astype(np.int64)
-        cum = np.empty((3, self.n), np.int64)
-        cum[0] = p[0] << 4
-        cum[1] = cum[0] + ((FULL - cum[0]) * p[1] >> 12)
-        cum[2] = cum[1] + ((FULL - cum[1]) * p[2] >> 12)
-        return cum
+        #: Edges of the four outcomes, by outcome and lane; predict() fills the inner ones.
+        self.edges = np.zeros((5, lanes), np.int64)
+        self.edges[4] = FULL
+
+    def predict(self) -> None:
+        """Sets the edges: cumulative frequencies of the three predictions, of 65536 in all; the rest is the escape."""
+        one = self.last * 40503
+        self.at = self.slot0.copy()
+        self.at[0] += ((one + self.last2 * 60493) >> 6) & (SLOTS - 1)
+        self.at[1] += (one >> 5) & (SLOTS - 1)
+        got, ids, conf, ok = self.guess.take(self.at).astype(np.int64), self.ids, self.context[0], self.ok
+        ids[:2], ids[2] = got >> 8, self.best
+        conf[:2] = got & 255
+        np.minimum(self.best_n, 15, out=conf[2])
+        np.greater(conf, 0, out=ok)
+        ok[1] &= ~(ok[0] & (ids[1] == ids[0]))
+        ok[2] &= ~((ok[0] & (ids[2] == ids[0])) | (ok[1] & (ids[2] == ids[1])))
+        self.i = self.adapt0 + self.context
+        self.p = self.adapt.take(self.i)
+        self.s = STRETCH.take(self.p >> 4)
+        dot = (self.w * self.s).sum(0, dtype=np.int32) >> 16
+        self.mix = SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2048)
+        p = (np.minimum(np.maximum(self.mix, 24), 4096 - 24) * ok).astype(np.int64)
+        e = self.edges
+        np.left_shift(p[0], 4, out=e[1])
+        e[2] = e[1] + ((FULL - e[1]) * p[1] >> 12)
+        e[3] = e[2] + ((FULL - e[2]) * p[2] >> 12)
+
+    def span(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, width) of an outcome of each lane."""
+        at = symbol * self.n + self.lane
+        flat = self.edges.reshape(-1)
+        start = flat.take(at)
+        return start.astype(np.uint64), (flat.take(at + self.n) - start).astype(np.uint64)
 
     def which(self, ids: np.ndarray) -> np.ndarray:
         """Which prediction is right, 3 for none."""
         hit = self.ok & (self.ids == ids)
-        return np.where(hit[0], 0, np.where(hit[1], 1, np.where(hit[2], 2, 3)))
+        return 3 - 3 * hit[0] - 2 * hit[1] - hit[2]
 
     def update(self, ids: np.ndarray, symbol: np.ndarray) -> None:
-        order = np.arange(3)[:, None]
+        order = _ORDER
         hit = symbol == order
-        learn = self.ok & (order <= symbol)
-        goal = np.where(hit, 65535, 0).astype(np.int32)
-        self.by_sure[self.i_sure] = np.where(learn, self.p_sure + ((goal - self.p_sure) >> 4), self.p_sure)
-        self.by_past[self.i_past] = np.where(learn, self.p_past + ((goal - self.p_past) >> 4), self.p_past)
-        err = np.where(learn, (goal >> 4) - self.p, 0).astype(np.int32)
-        self.w[0] += (self.s_sure * err) >> 11
-        self.w[1] += (self.s_past * err) >> 11
-        np.clip(self.w, -(1 << 18), 1 << 18, out=self.w)
-        self.past = np.where(learn, (self.past * 2 + hit) & 3, self.past)
-        sure, same = self.conf[:2], (self.ids[:2] == ids) & (self.conf[:2] > 0)
-        anew = ~same & (sure <= 1)
-        self.guess[self.at] = np.where(anew, ids, self.ids[:2])
-        self.sure[self.at] = np.where(same, np.minimum(sure + 1, 15), np.where(anew, 1, sure >> 1))
+        learn = self.ok & (symbol >= order)
+        goal = hit * np.int32(65535)
+        self.adapt[self.i] = self.p + ((goal - self.p) >> 4) * learn
+        err = ((goal >> 4) - self.mix) * learn
+        self.w += (self.s * err) >> 11
+        np.minimum(np.maximum(self.w, -(1 << 18), out=self.w), 1 << 18, out=self.w)
+        past = self.context[1]
+        past += learn * (((past * 2 + hit) & 3) - past)
+        sure = self.context[0, :2]
+        right = (self.ids[:2] == ids) & (sure > 0)
+        kept = right | (sure > 1)
+        self.guess[self.at] = ((self.ids[:2] * kept + ids * ~kept) << 8) | np.where(right, np.minimum(sure + 1, 15), np.maximum(sure >> 1, 1))
         at = self.count0 + (ids * 40503 >> 3 & (SLOTS - 1))
-        n = np.minimum(self.count[at].astype(np.int64) + 1, 255)
+        n = np.minimum(self.count.take(at).astype(np.int64) + 1, 255)
         self.count[at] = n
         better = n > self.best_n
         self.best = np.where(better, ids, self.best)
-        self.best_n = np.where(better, n, self.best_n)
+        np.maximum(self.best_n, n, out=self.best_n)
         self.last2, self.last = self.last, ids
 
     def learn_head(self, rows: np.ndarray, cdf: np.ndarray, head: np.ndarray) -> None:
@@ -116,9 +128,15 @@ class Model:
         self.heads[rows] = cdf + ((goal - cdf) >> 5)
 
 
+_ORDER = np.arange(3)[:, None]
+
+
 def head_of(ids: np.ndarray) -> np.ndarray:
     """Magnitude class: 0 below 256, then one for each further bit."""
-    return np.where(ids < 256, 0, np.frexp(np.maximum(ids >> 8, 1).astype(np.float64))[1]).astype(np.int64)
+    return _HEAD_OF.take(ids >> 8)
+
+
+_HEAD_OF = np.asarray([i.bit_length() for i in range(256)], np.int64)
 
 
 def bits_of(head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +156,7 @@ class _Encoder:
         over = low >= _ONE48
         if over.any():
             low[over] -= _ONE48
-            which = np.arange(len(self.low))[rows][over]
+            which = np.flatnonzero(over) if isinstance(rows, slice) else rows[over]
             back = self.at[which] - 1
             while len(which):
                 self.out[which, back] += np.uint16(1)
@@ -146,7 +164,7 @@ class _Encoder:
                 which, back = which[more], back[more] - 1
         small = span <= _LOW32
         if small.any():
-            which = np.arange(len(self.low))[rows][small]
+            which = np.flatnonzero(small) if isinstance(rows, slice) else rows[small]
             self.out[which, self.at[which]] = (low[small] >> np.uint64(32)).astype(np.uint16)
             self.at[which] += 1
             low[small] = (low[small] & _LOW32) << np.uint64(16)
@@ -175,7 +193,7 @@ class _Decoder:
         code, span = self.code[rows] - unit * start, unit * width
         small = span <= _LOW32
         if small.any():
-            which = np.arange(len(self.code))[rows][small]
+            which = np.flatnonzero(small) if isinstance(rows, slice) else rows[small]
             code[small] = (code[small] << np.uint64(16)) | self.words[which, np.minimum(self.at[which], self.end)]
             self.at[which] += 1
             span[small] <<= np.uint64(16)
@@ -193,12 +211,9 @@ def encode(blocks: np.ndarray) -> list[np.ndarray]:
     heads = head_of(columns)
     for t in range(length):
         ids, head = columns[t], heads[t]
-        cum = m.predict()
+        m.predict()
         s = m.which(ids)
-        edges = np.concatenate([np.zeros((1, lanes), np.int64), cum, np.full((1, lanes), FULL, np.int64)])
-        lane = np.arange(lanes)
-        start, end = edges[s, lane], edges[s + 1, lane]
-        rc.put(every, rc.range >> _16, start.astype(np.uint64), (end - start).astype(np.uint64))
+        rc.put(every, rc.range >> _16, *m.span(s))
         e = np.flatnonzero(s == 3)
         if len(e):
             h, row = head[e], m.head0[e] + m.head[e]
@@ -220,15 +235,12 @@ def decode(payloads: list[np.ndarray], length: int) -> np.ndarray:
     lanes = len(payloads)
     m, rc, every = Model(lanes), _Decoder(payloads), slice(None)
     out = np.empty((length, lanes), np.int64)
-    lane = np.arange(lanes)
     for t in range(length):
-        cum = m.predict()
+        m.predict()
         unit = rc.range >> _16
-        s = (rc.code >= unit * cum.astype(np.uint64)).sum(0)
-        edges = np.concatenate([np.zeros((1, lanes), np.int64), cum, np.full((1, lanes), FULL, np.int64)])
-        start, end = edges[s, lane], edges[s + 1, lane]
-        rc.take(every, unit, start.astype(np.uint64), (end - start).astype(np.uint64))
-        ids = np.concatenate([m.ids, np.zeros((1, lanes), np.int64)])[s, lane]
+        s = (rc.code >= unit * m.edges[1:4].astype(np.uint64)).sum(0)
+        rc.take(every, unit, *m.span(s))
+        ids = m.ids.reshape(-1).take(np.minimum(s, 2) * lanes + m.lane)
         head = head_of(ids)
         e = np.flatnonzero(s == 3)
         if len(e):
