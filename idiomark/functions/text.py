@@ -1,4 +1,4 @@
-"""Normalisation, the bounded scan window and address stripping, as column expressions.
+"""Normalisation, the bounded scan window and address stripping, as columns.
 
 Lengths and offsets count code points. Only NFC and NFD need Python; texts whose
 code points are all below U+0300 are NFC already and are not sent there.
@@ -6,7 +6,7 @@ code points are all below U+0300 are NFC already and are not sent there.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,18 +50,6 @@ def ends(c: Column, head: int, tail: int) -> Column:
     return F.when(F.length(c) > head + tail, F.concat(F.substring(c, 1, head), F.lit("\n"), F.substring(c, -tail, tail))).otherwise(c)
 
 
-def precut(c: Column) -> Column:
-    """The bounded, composed text that the window is cut from.
-
-    Composition shrinks a text to a third at most, so a second, wider cut is taken
-    only where the narrow one came back shorter than the window."""
-    size = HEAD + TAIL
-    narrow = nfc(ends(c, NARROW * HEAD, NARROW * TAIL))
-    short = (F.length(narrow) < size) & (F.length(c) > NARROW * size)
-    wide = F.when(short, ends(c, WIDE * HEAD, WIDE * TAIL))
-    return F.when(short, F.coalesce(_nfc(wide), wide)).otherwise(narrow)
-
-
 def unescape(c: Column) -> Column:
     r"""Literal \n, \r and \t, a backslash and a letter, become a space."""
     return F.regexp_replace(c, r"\\[nrt]", " ")
@@ -101,9 +89,27 @@ def strip_addresses(c: Column) -> Column:
     return F.when(c.rlike(ADDRESS), slow).otherwise(fast)
 
 
-def scan_window(c: Column) -> Column:
-    """The part of a text that is looked at: composed, without escapes, elisions, partial words and addresses."""
-    return strip_addresses(cut(elide(unescape(precut(c)))))
+def bounded(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """Adds the composed text that the window is cut from, without escapes, elisions and partial words.
+
+    Composition shrinks a text to a third at most, so a second, wider cut is taken
+    only where the narrow one came back shorter than the window. Each step is a
+    column of its own, so that none is computed twice."""
+    size, n = HEAD + TAIL, lambda x: f"_{out}_{x}"
+    long = F.length(text)
+    d = df.withColumn(n("narrow"), ends(text, NARROW * HEAD, NARROW * TAIL)).withColumn(n("wide"), F.when(long > NARROW * size, ends(text, WIDE * HEAD, WIDE * TAIL)))
+    d = d.withColumn(n("narrow"), nfc(F.col(n("narrow"))))
+    short = F.length(n("narrow")) < size
+    d = d.withColumn(n("wide"), F.when(short, F.col(n("wide"))))
+    d = d.withColumn(out, F.coalesce(_nfc(F.col(n("wide"))), F.col(n("narrow")))).drop(n("narrow"), n("wide"))
+    d = d.withColumn(out, elide(unescape(F.col(out))))
+    return d.withColumn(out, cut(F.col(out)))
+
+
+def windowed(df: DataFrame, text: Column, out: str = "window") -> DataFrame:
+    """Adds the part of a text that is looked at: composed, without escapes, elisions, partial words and addresses."""
+    d = bounded(df, text, out)
+    return d.withColumn(out, strip_addresses(F.col(out)))
 
 
 def session_key(c: Column) -> Column:

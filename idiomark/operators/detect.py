@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from idiomark.functions import tokens as tk
 from idiomark.functions.lexicon import Lexicon, bernese
-from idiomark.functions.text import WS, scan_window
+from idiomark.functions.text import WS, windowed
 
 TOKEN = "array<struct<w:string,k:string,si:int>>"
 
@@ -27,7 +27,7 @@ def explain(df: DataFrame, text: Column, lex: Lexicon | None = None, prefix: str
     A null text has a null window, no token and no verdict."""
     lex = lex or bernese()
     n = lambda x: prefix + x
-    d = df.withColumn(n("window"), scan_window(text))
+    d = windowed(df, text, n("window"))
     w = F.coalesce(F.col(n("window")), F.lit(""))
     d = d.withColumn(n("tokens"), tk.tokens(w))
     return _decided(d, n, lex)
@@ -47,7 +47,7 @@ def detect(df: DataFrame, text: Column, lex: Lexicon | None = None, prefix: str
     """Adds fire and certain. Texts without any possible marker are not tokenised further."""
     lex = lex or bernese()
     n = lambda x: prefix + x
-    d = df.withColumn(n("window"), F.coalesce(scan_window(text), F.lit("")))
-    w = F.col(n("window"))
-    d = d.withColumn(n("tokens"), F.when(tk.candidates(w, lex), tk.tokens(w)).otherwise(F.array().cast(TOKEN)))
-    return _decided(d, n, lex).drop(n("window"), n("tokens"), n("grounded"), n("matched"))
+    d = windowed(df, text, n("window"))
+    w = F.coalesce(F.col(n("window")), F.lit(""))
+    d = d.withColumn(n("tokens"), F.when(tk.candidates(w, lex), tk.tokens(w)).otherwise(F.array().cast(TOKEN))).drop(n("window"))
+    return _decided(d, n, lex).drop(n("tokens"), n("grounded"), n("matched"))
