@@ -73,14 +73,14 @@ def resolve(candidates: Iterable[str], override: str | None = None) -> tuple[str
 
 def rulebook(spark: SparkSession, path: str) -> DataFrame:
     """(path, body, valid) of whole files."""
-    d = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("body"))
+    d = spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
     return d.withColumn("valid", is_rulebook(F.col("body")))
 
 
 def overlays(spark: SparkSession, root: str, name: str) -> DataFrame:
     """(path, body) of overlay files projects/*/memory/<name>, in order of path, each once, blank ones left out."""
     d = spark.read.format("binaryFile").option("pathGlobFilter", name).load(os.path.join(root, "projects", "*", "memory"))
-    d = d.select("path", F.decode("content", "UTF-8").alias("body")).dropDuplicates(["path"])
+    d = d.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("body")).dropDuplicates(["path"])
     return d.filter(F.regexp_replace("body", f"[{WS}]+", "") != "").orderBy("path")
 
 
