@@ -14,11 +14,11 @@ from idiomark.functions import html as h
 EXACT, ABSENT, UNKNOWN = "EXACT", "ABSENT", "UNKNOWN"
 
 
-def entries(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+def entries(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = (), base: str = h.ENTRY_URL) -> DataFrame:
     """One row per entry: kept columns, position on the page, word, pos, alt, gloss, url."""
     d = pages.select(*keep, F.posexplode(h.entries(h.above_footer(F.col(html)))).alias("position", "e"))
     fields = [h.clean(F.col(f"e.{f}")).alias(f) for f in ("word", "pos", "alt", "gloss")]
-    return d.select(*keep, "position", *fields, F.concat(F.lit(h.ENTRY_URL), F.col("e.id")).alias("url"))
+    return d.select(*keep, "position", *fields, F.concat(F.lit(base), F.col("e.id")).alias("url"))
 
 
 def lookup(pages: DataFrame, most_pages: int = h.MOST_PAGES, limit: int = 5) -> tuple[DataFrame, DataFrame]:
