@@ -18,10 +18,12 @@ histogram of set sizes and the mean length of a list.
 
 A list of a few items gives its pairs. In a longer one, as a group of near
 copies makes them, every item meets the list's first items and its neighbours
-only; when these pairs are verified and connected, the items of a list that
-still lie in different components are paired across components, in blocks. So
-no pair inside a known component is made, and none across is left out. All
-pairs are verified on whole sets.
+only. When these pairs are verified and connected, each item of a list is paired
+with the nearest one of another component first; then
+the items that still lie in different components are paired in full, in blocks.
+So few pairs inside a component are made, and none across is left out. All
+pairs are verified: first on parity bit maps, which bound the sets' difference
+from below, then on whole sets.
 
 Hashes of 64 bits stand for shingles and items: two of n differ in text but not
 in hash with a chance below n * n / 2**65.
@@ -50,7 +52,11 @@ WORDS = 5
 NUM, DEN = 3, 4
 #: Sets that may be enumerated, pairs of a list that are all made, postings of a bucket.
 LARGEST_LIGHT, SHORT_LIST, BUCKET = 24, 12, 1_500_000
-HOT_PER_BATCH, HOT_KEPT, HOT_LEAST = 4000, 200_000, 6
+HOT_PER_BATCH, HOT_KEPT, HOT_LEAST = 20_000, 50_000, 3
+#: Rounds of nearest pairs before the rest is paired in full.
+ROUNDS = 1
+#: So many edges, 16 bytes each, are labelled within one task.
+SMALL_EDGES = 1_000_000
 POSTING = np.dtype([("h", "<u8"), ("item", "<i8"), ("n", "<i4"), ("kind", "u1")])
 SCAN, LEFT, RIGHT, SAME = 0, 1, 2, 3
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -70,7 +76,7 @@ def shingle_sets(texts, words: int = WORDS) -> list[np.ndarray]:
 
     raw, offsets = byte_view(texts.cast(pa.large_string()).fill_null(""))
     out: list[np.ndarray] = []
-    for a, b in blocks(np.diff(offsets), 1 << 22):
+    for a, b in blocks(np.diff(offsets), 1 << 20):
         out += _sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
     return out
 
@@ -115,6 +121,22 @@ def _sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
     return out
 
 
+def parity(s: np.ndarray) -> bytes:
+    """For each of some two bits per shingle, whether an odd number of shingles falls on it."""
+    bits = 1 << max(6, min(20, int(len(s)).bit_length() + 1))
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differ(x: bytes, y: bytes) -> int:
+    """Of two parities, a lower bound of how many shingles only one of the sets has; the longer one is folded."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def item_of(s: np.ndarray) -> int:
     """Identity of a set."""
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -148,7 +170,7 @@ def boundary(sizes: dict[int, int], list_length: float, verify: float = 8.0) ->
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, item) and, on the first row of a block, its frequent shingles and how often shingles repeat."""
+    """(doc_id, n, item, parity) and, on the first row of a block, its frequent shingles and how often shingles repeat."""
 
     def run(batches):
         import pyarrow as pa
@@ -169,11 +191,11 @@ def summaries(docs: DataFrame) -> DataFrame:
                 hot = [{"h": int(h), "c": int(c)} for h, c in zip(every[cut[top]].view(np.int64), count[top], strict=True)]
                 rest = len(sets) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(items, pa.int64()), pa.array([hot] + [None] * rest, hot_type), pa.array([len(every)] + [0] * rest, pa.int64()), pa.array([len(cut)] + [0] * rest, pa.int64())],
-                    names=["doc_id", "n", "item", "hot", "shingles", "different"],
+                    [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(items, pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.array([hot] + [None] * rest, hot_type), pa.array([len(every)] + [0] * rest, pa.int64()), pa.array([len(cut)] + [0] * rest, pa.int64())],
+                    names=["doc_id", "n", "item", "parity", "hot", "shingles", "different"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, item long, hot array<struct<h:long,c:long>>, shingles long, different long")
+    return docs.mapInArrow(run, "doc_id long, n long, item long, parity binary, hot array<struct<h:long,c:long>>, shingles long, different long")
 
 
 class Order:
@@ -358,32 +380,102 @@ def links(a, b):
     return pa.array(out, pa.bool_())
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
-    items = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
-    s = kept(sets_of(docs, items.join(reps, "item")))
+@F.arrow_udf(T.BooleanType())
+def near(x, y, n, m):
+    """Whether sets of these parities and sizes can link."""
+    import pyarrow as pa
+
+    out = [(NUM + DEN) * differ(a, b) <= (DEN - NUM) * (i + j) for a, b, i, j in zip(x.to_pylist(), y.to_pylist(), n.to_pylist(), m.to_pylist(), strict=True)]
+    return pa.array(out, pa.bool_())
+
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """The pairs (a, b) that link.
+
+    Parities, a thirtieth of a set's size, rule out most others; for what is left
+    whole sets are compared. The list of documents that are read for them is
+    broadcast if it has at most `small` rows."""
+    for side in ("a", "b"):
+        pairs = pairs.join(reps.select(F.col("item").alias(side), F.col("n").alias("n" + side), F.col("parity").alias("p" + side)), side)
+    pairs = kept(pairs.filter(near("pa", "pb", "na", "nb")).select("a", "b"))
+    items = kept(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct().join(reps.select("item", "doc_id"), "item"))
+    s = kept(sets_of(docs, F.broadcast(items) if items.count() <= small else items))
     both = pairs.join(s.select(F.col("item").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("item").alias("b"), F.col("s").alias("sb")), "b")
     return kept(both.filter(links("sa", "sb")).select("a", "b"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def labelled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, smallest id that edges lead to) of the ends of edges."""
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    lab = np.arange(len(ids))
+    while True:
+        low = np.minimum(lab[a], lab[b])
+        new = lab.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == lab).all():
+            return ids, ids[lab]
+        lab = new
+
+
+def components(edges: DataFrame, small: int | None = None) -> DataFrame:
     """(v, comp) of every end of an edge (a, b): comp is the smallest id that edges lead to.
 
-    Labels fall to the smallest among neighbours and then to their label's own label, until none falls."""
-    e = kept(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    lab = kept(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("comp")))
+    Labels fall to the smallest among neighbours and then to their label's own label,
+    until none falls. At most `small` edges, counted first, are labelled so within one
+    task; more of them by joins."""
+    edges = kept(edges.select("a", "b").distinct())
+    if edges.count() <= (SMALL_EDGES if small is None else small):
+
+        def run(table):
+            import pyarrow as pa
+
+            v, comp = labelled(table["a"].to_numpy(), table["b"].to_numpy())
+            return pa.table({"v": v, "comp": comp})
+
+        return kept(edges.withColumn("_all", F.lit(True)).groupBy("_all").applyInArrow(run, "v long, comp long"))
+    e = kept(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    lab = e.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
+    total = None
     while True:
-        near = e.join(lab.select(F.col("v").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        down = near.join(lab, F.col("a") == F.col("v")).select("v", F.col("comp").alias("old"), F.least("m", "comp").alias("comp"))
-        up = lab.select(F.col("v").alias("_v"), F.col("comp").alias("_c"))
-        new = kept(down.join(up, F.col("comp") == F.col("_v"), "left").select("v", "old", F.least("comp", F.coalesce("_c", "comp")).alias("comp")))
-        lab, changed = new.select("v", "comp"), new.filter(F.col("comp") != F.col("old")).limit(1).count()
-        if not changed:
+        lab = kept(lab)
+        was, total = total, lab.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
+        if was == total:  # labels only fall
             return lab
+        near = e.join(lab.select(F.col("v").alias("b"), "comp"), "b").select(F.col("a").alias("v"), "comp")
+        down = near.union(lab.select("v", "comp")).groupBy("v").agg(F.min("comp").alias("comp"))
+        up = lab.select(F.col("v").alias("_v"), F.col("comp").alias("_c"))
+        lab = down.join(up, F.col("comp") == F.col("_v"), "left").select("v", F.least("comp", F.coalesce("_c", "comp")).alias("comp"))
+
+
+class Parities:
+    """Parities of many sets, by length; a set also stands folded in the next shorter class."""
+
+    def __init__(self, data: list[bytes]):
+        self.length = np.asarray([len(x) for x in data], np.int64)
+        self.by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(self.length):
+            own, twice = np.flatnonzero(self.length == size), np.flatnonzero(self.length == 2 * size)
+            rows = [np.frombuffer(data[i], np.uint8) for i in own]
+            rows += [np.frombuffer(data[i], np.uint8)[:size] ^ np.frombuffer(data[i], np.uint8)[size:] for i in twice]
+            place = np.full(len(data), -1, np.int64)
+            place[own], place[twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
+            self.by[int(size)] = np.stack(rows), place
 
+    def apart(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Lower bounds of the differences of x and the sets y, none of them smaller."""
+        rows, place = self.by[int(self.length[x])]
+        return np.bitwise_count(rows[place[y]] ^ rows[place[x]]).sum(1, dtype=np.int64)
 
-def across(long: DataFrame, comps: DataFrame, block: int = 2000) -> DataFrame:
-    """Pairs (a, b) of items that share a long list and lie in different components, of sizes that can link."""
+
+def across(long: DataFrame, comps: DataFrame, reps: DataFrame, nearest: bool, block: int = 2000) -> DataFrame:
+    """Pairs (a, b) of items that share a long list, lie in different components, and can link by size and parity.
+
+    With `nearest`, each item of a block gives one pair, with the least difference by
+    parity; else all pairs are given. Sizes and parities are compared within a block's
+    task, so that what they rule out never becomes rows."""
     d = long.join(comps, F.col("item") == F.col("v"), "left").select("h", "item", "n", F.coalesce("comp", "item").alias("comp"))
     # Lists in one component are done; of lists with the same items, one is enough.
     lists = d.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("item").alias("size"), F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "item")).alias("y"))
@@ -391,43 +483,67 @@ def across(long: DataFrame, comps: DataFrame, block: int = 2000) -> DataFrame:
     d = lists.select(F.col("g").alias("h"), F.ceil(F.col("size") / block).cast("int").alias("k")).join(d, "h")
     c = F.pmod(F.xxhash64(F.lit(2), "item"), "k").cast("int")
     both = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j")))
-    d = d.withColumn("c", c).withColumn("cell", F.explode(both))
+    d = d.withColumn("c", c).join(reps.select("item", "parity"), "item").withColumn("cell", F.explode(both))
 
     def run(table):
         import pyarrow as pa
 
         item, comp, n, chunk = (table[x].to_numpy() for x in ("item", "comp", "n", "c"))
         order = np.lexsort((item, n))
+        data = table["parity"].to_pylist()
         item, comp, n, chunk = item[order], comp[order], n[order], chunk[order]
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        parities = Parities([data[o] for o in order])
+        between = table["i"][0].as_py() != table["j"][0].as_py()
         out = [np.zeros((0, 2), np.int64)]
+        least, partner = np.full(len(item), np.iinfo(np.int64).max), np.full(len(item), -1)
         for x in range(len(item)):
-            if chunk[x] not in (i, j):
+            y = np.arange(x + 1, np.searchsorted(n, DEN * n[x] // NUM, side="right"))
+            y = y[(comp[y] != comp[x]) & ((chunk[y] != chunk[x]) | (not between))]
+            if not len(y):
+                continue
+            apart = parities.apart(x, y)
+            near = (NUM + DEN) * apart <= (DEN - NUM) * (n[x] + n[y])
+            y, apart = y[near], apart[near]
+            if not len(y):
+                continue
+            if not nearest:
+                out.append(np.sort(np.stack([np.full(len(y), item[x]), item[y]], 1), axis=1))
                 continue
-            end = np.searchsorted(n, DEN * n[x] // NUM, side="right")
-            y = np.arange(x + 1, end)
-            y = y[comp[y] != comp[x]]
-            if i != j:
-                y = y[chunk[y] != chunk[x]]
-            out.append(np.sort(np.stack([np.full(len(y), item[x]), item[y]], 1), axis=1))
+            if apart.min() < least[x]:
+                least[x], partner[x] = apart.min(), y[apart.argmin()]
+            closer = apart < least[y]
+            least[y[closer]], partner[y[closer]] = apart[closer], x
+        some = np.flatnonzero(partner >= 0)
+        out.append(np.sort(np.stack([item[some], item[partner[some]]], 1), axis=1))
         p = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": p[:, 0], "b": p[:, 1]})
 
-    cells = d.select("h", "item", "comp", "n", "c", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
+    cells = d.select("h", "item", "comp", "n", "c", "parity", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
     return cells.groupBy("h", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def merged(comps: DataFrame, far: DataFrame) -> DataFrame:
+    """Components after further links (a, b) between items."""
+    name = comps.select(F.col("v").alias("_v"), F.col("comp").alias("_c"))
+    for side in ("a", "b"):
+        far = far.join(name, F.col(side) == F.col("_v"), "left").withColumn(side, F.coalesce("_c", side)).drop("_v", "_c")
+    top = components(far.filter("a != b")).select(F.col("v").alias("_v"), F.col("comp").alias("_c"))
+    single = top.join(comps, F.col("_v") == F.col("v"), "left_anti").select(F.col("_v").alias("v"), F.col("_c").alias("comp"))
+    return kept(comps.join(top, F.col("comp") == F.col("_v"), "left").select("v", F.coalesce("_c", "comp").alias("comp")).union(single))
+
+
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) of every row."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     a = kept(summaries(docs))
-    reps = kept(a.filter("n > 0").groupBy("item").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+    reps = kept(a.filter("n > 0").groupBy("item").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")))
     sizes = {int(r["n"]): r["count"] for r in reps.filter(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}
     total = reps.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     shingles, different = a.agg(F.sum("shingles"), F.sum("different")).first()
     hot = a.select(F.explode("hot").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c")).orderBy(F.desc("c"), "h").limit(HOT_KEPT).collect()
     order = spark.sparkContext.broadcast(Order([(r["h"], r["c"]) for r in hot]))
+    del hot
     limit = boundary(sizes, (shingles or 0) / max(1, different or 0) - 1)
     buckets = max(partitions(spark), ceil(total / BUCKET))
     found = kept(met(postings(docs, order, limit, buckets), limit))
@@ -435,15 +551,18 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     linked = verified(pairs, docs, reps)
     comps = components(linked)
     long = found.filter("t = 1").select(F.col("a").alias("h"), F.col("b").alias("item"), "n")
-    more = kept(across(long, comps).join(pairs, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        far = verified(more, docs, reps)
-        name = comps.select(F.col("v").alias("_v"), F.col("comp").alias("_c"))
-        for side in ("a", "b"):
-            far = far.join(name, F.col(side) == F.col("_v"), "left").withColumn(side, F.coalesce("_c", side)).drop("_v", "_c")
-        top = components(far.filter("a != b")).select(F.col("v").alias("_v"), F.col("comp").alias("_c"))
-        single = top.join(comps, F.col("_v") == F.col("v"), "left_anti").select(F.col("_v").alias("v"), F.col("_c").alias("comp"))
-        comps = comps.join(top, F.col("comp") == F.col("_v"), "left").select("v", F.coalesce("_c", "comp").alias("comp")).union(single)
+    # Nearest pairs first, as long as they link anything; what then lies in different components is paired in full.
+    left = ROUNDS
+    while True:
+        more = kept(across(long, comps, reps, left > 0).join(pairs, ["a", "b"], "left_anti"))
+        far = verified(more, docs, reps) if more.limit(1).count() else None
+        grown = far is not None and far.limit(1).count() > 0
+        if grown:
+            comps = merged(comps, far)
+        if not left:
+            break
+        left = left - 1 if grown else 0
+        pairs = kept(pairs.union(more))
     named = reps.join(comps, F.col("item") == F.col("v"), "left").select("item", "doc_id", F.coalesce("comp", "item").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component"))
     of_item = kept(named.select("item", "comp").join(least, "comp").select(F.col("item").alias("_item"), "component"))
