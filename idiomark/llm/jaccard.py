@@ -58,6 +58,8 @@ ROUNDS = 1
 #: So many edges, 16 bytes each, are labelled within one task.
 SMALL_EDGES = 1_000_000
 POSTING = np.dtype([("h", "<u8"), ("item", "<i8"), ("n", "<i4"), ("kind", "u1")])
+#: An entry as it travels: 48 bits of the hash are enough to bring candidates together.
+PACKED = np.dtype([("h", "u1", 6), ("item", "<i8"), ("n", "<i4"), ("kind", "u1")])
 SCAN, LEFT, RIGHT, SAME = 0, 1, 2, 3
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -238,6 +240,24 @@ def light_keys(s: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
+def packed(e: np.ndarray) -> bytes:
+    out = np.empty(len(e), PACKED)
+    out["h"] = np.ascontiguousarray(e["h"]).view(np.uint8).reshape(-1, 8)[:, :6]
+    for name in ("item", "n", "kind"):
+        out[name] = e[name]
+    return out.tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    p = np.frombuffer(data, PACKED)
+    e, h = np.empty(len(p), POSTING), np.zeros((len(p), 8), np.uint8)
+    h[:, :6] = p["h"]
+    e["h"] = h.view("<u8")[:, 0]
+    for name in ("item", "n", "kind"):
+        e[name] = p[name]
+    return e
+
+
 def postings(docs: DataFrame, order, limit: int, buckets: int) -> DataFrame:
     """(bucket, data): entries of lists, as packed arrays."""
 
@@ -278,7 +298,7 @@ def postings(docs: DataFrame, order, limit: int, buckets: int) -> DataFrame:
                 every, where = every[at], where[at]
                 cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
                 ends = np.concatenate([cut[1:], [len(every)]])
-                yield pa.RecordBatch.from_arrays([pa.array(where[cut].astype(np.int64)), pa.array([every[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["bucket", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(where[cut].astype(np.int64)), pa.array([packed(every[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["bucket", "data"])
 
     return docs.mapInArrow(run, "bucket long, data binary")
 
@@ -341,7 +361,7 @@ def met(posted: DataFrame, limit: int) -> DataFrame:
     def run(table):
         import pyarrow as pa
 
-        e = np.concatenate([np.frombuffer(x.as_buffer(), POSTING) for x in table["data"]])
+        e = np.concatenate([unpacked(x.as_buffer()) for x in table["data"]])
         p, rows = pairs_of(e, limit)
         t = np.concatenate([np.zeros(len(p), np.int32), np.ones(len(rows), np.int32)])
         return pa.table({"t": t, "a": np.concatenate([p[:, 0], rows["h"].view(np.int64) if len(rows) else np.zeros(0, np.int64)]), "b": np.concatenate([p[:, 1], rows["item"]]), "n": np.concatenate([np.zeros(len(p), np.int64), rows["n"].astype(np.int64)])})
@@ -389,15 +409,17 @@ def near(x, y, n, m):
     return pa.array(out, pa.bool_())
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, small: int = 1_000_000) -> DataFrame:
-    """The pairs (a, b) that link.
-
-    Parities, a thirtieth of a set's size, rule out most others; for what is left
-    whole sets are compared. The list of documents that are read for them is
-    broadcast if it has at most `small` rows."""
+def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that parities, a thirtieth of a set's size, do not rule out."""
     for side in ("a", "b"):
         pairs = pairs.join(reps.select(F.col("item").alias(side), F.col("n").alias("n" + side), F.col("parity").alias("p" + side)), side)
-    pairs = kept(pairs.filter(near("pa", "pb", "na", "nb")).select("a", "b"))
+    return kept(pairs.filter(near("pa", "pb", "na", "nb")).select("a", "b"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """The pairs (a, b) that link, by whole sets.
+
+    The list of documents that are read for them is broadcast if it has at most `small` rows."""
     items = kept(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct().join(reps.select("item", "doc_id"), "item"))
     s = kept(sets_of(docs, F.broadcast(items) if items.count() <= small else items))
     both = pairs.join(s.select(F.col("item").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("item").alias("b"), F.col("s").alias("sb")), "b")
@@ -548,7 +570,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     buckets = max(partitions(spark), ceil(total / BUCKET))
     found = kept(met(postings(docs, order, limit, buckets), limit))
     pairs = kept(found.filter("t = 0").select("a", "b").distinct())
-    linked = verified(pairs, docs, reps)
+    linked = verified(possible(pairs, reps), docs, reps)
     comps = components(linked)
     long = found.filter("t = 1").select(F.col("a").alias("h"), F.col("b").alias("item"), "n")
     # Nearest pairs first, as long as they link anything; what then lies in different components is paired in full.
