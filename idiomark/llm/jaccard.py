@@ -45,19 +45,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idiomark.llm.common import _BLANK, blocks, byte_view, kept, partitions, read, salted_join
+from idiomark.llm.common import _BLANK, blocks, byte_view, kept, read, salted_join
 
 WORDS = 5
 #: Similarity as a fraction, 3 / 4.
 NUM, DEN = 3, 4
 #: Sets that may be enumerated, pairs of a list that are all made, postings of a bucket.
-LARGEST_LIGHT, SHORT_LIST, BUCKET = 24, 12, 1_500_000
+LARGEST_LIGHT, SHORT_LIST, BUCKET = 24, 12, 1_000_000
 HOT_PER_BATCH, HOT_KEPT, HOT_LEAST = 20_000, 50_000, 3
 #: Rounds of nearest pairs before the rest is paired in full.
 ROUNDS = 1
 #: So many edges, 16 bytes each, are labelled within one task.
 SMALL_EDGES = 1_000_000
 POSTING = np.dtype([("h", "<u8"), ("item", "<i8"), ("n", "<i4"), ("kind", "u1")])
+#: Fewest buckets of postings; few large ones compress better than many small ones.
+LEAST_BUCKETS = 12
 #: An entry as it travels: 48 bits of the hash are enough to bring candidates together.
 PACKED = np.dtype([("h", "u1", 6), ("item", "<i8"), ("n", "<i4"), ("kind", "u1")])
 SCAN, LEFT, RIGHT, SAME = 0, 1, 2, 3
@@ -124,8 +126,10 @@ def _sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """For each of some two bits per shingle, whether an odd number of shingles falls on it."""
-    bits = 1 << max(6, min(20, int(len(s)).bit_length() + 1))
+    """For each of some bits, whether an odd number of shingles falls on it.
+
+    There are one to two bits per shingle; two to four in sets of less than 256, where the bound is noisier."""
+    bits = 1 << max(6, min(20, int(len(s)).bit_length() + (len(s) < 256)))
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -410,7 +414,7 @@ def near(x, y, n, m):
 
 
 def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that parities, a thirtieth of a set's size, do not rule out."""
+    """The pairs (a, b) that parities, a fiftieth of a set's size, do not rule out."""
     for side in ("a", "b"):
         pairs = pairs.join(reps.select(F.col("item").alias(side), F.col("n").alias("n" + side), F.col("parity").alias("p" + side)), side)
     return kept(pairs.filter(near("pa", "pb", "na", "nb")).select("a", "b"))
@@ -567,7 +571,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     order = spark.sparkContext.broadcast(Order([(r["h"], r["c"]) for r in hot]))
     del hot
     limit = boundary(sizes, (shingles or 0) / max(1, different or 0) - 1)
-    buckets = max(partitions(spark), ceil(total / BUCKET))
+    buckets = max(LEAST_BUCKETS, ceil(total / BUCKET))
     found = kept(met(postings(docs, order, limit, buckets), limit))
     pairs = kept(found.filter("t = 0").select("a", "b").distinct())
     linked = verified(possible(pairs, reps), docs, reps)
