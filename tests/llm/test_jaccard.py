@@ -99,6 +99,15 @@ def test_odd_rows(spark, odd, empty):
     assert jaccard.join(empty).count() == 0
 
 
+def test_components_by_joins_and_within_a_task_agree(spark):
+    rng = random.Random(9)
+    edges = [(k, k + 1) for k in range(0, 90)] + [(rng.randrange(200, 500), rng.randrange(200, 500)) for _ in range(200)] + [(-5, 7), (600, 601)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one = {r["v"]: r["comp"] for r in jaccard.components(df).collect()}
+    assert one == {r["v"]: r["comp"] for r in jaccard.components(df, small=0).collect()}
+    assert one[90] == -5 and one[601] == 600 and jaccard.components(df.limit(0)).count() == 0
+
+
 def test_prefixes_and_subsets_lose_no_pair():
     for a in range(1, 40):
         for b in jaccard.partners(a):
