@@ -62,7 +62,8 @@ POSTING = np.dtype([("h", "<u8"), ("item", "<i8"), ("n", "<i4"), ("kind", "u1")]
 LEAST_BUCKETS = 12
 #: An entry as it travels: 48 bits of the hash are enough to bring candidates together.
 PACKED = np.dtype([("h", "u1", 6), ("item", "<i8"), ("n", "<i4"), ("kind", "u1")])
-SCAN, LEFT, RIGHT, SAME = 0, 1, 2, 3
+#: Kinds of entries: of a list, of a subset's sides, of a list whose items are dealt to several buckets.
+SCAN, LEFT, RIGHT, SAME, DEALT = 0, 1, 2, 3, 4
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -295,8 +296,9 @@ def postings(docs: DataFrame, order, limit: int, buckets: int) -> DataFrame:
                 every = np.concatenate(rows)
                 where = (mixed(every["h"] ^ _M[4]) >> np.uint64(33)) % np.uint64(buckets)
                 # What one task cannot hold of a frequent shingle is dealt to several buckets by item.
-                many = order.value.counts(every["h"]) * 4 > BUCKET
+                many = (order.value.counts(every["h"]) * 4 > BUCKET) & (every["kind"] == SCAN)
                 if many.any():
+                    every["kind"][many] = DEALT
                     where[many] = (where[many] + mixed(every["item"][many].view(np.uint64)) % np.uint64(64)) % np.uint64(buckets)
                 at = np.argsort(where, kind="stable")
                 every, where = every[at], where[at]
@@ -313,13 +315,15 @@ def alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def pairs_of(e: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """From the entries of a bucket: (candidate pairs (k, 2) of items, entries of long lists)."""
-    e = e[np.lexsort((e["item"], e["n"], e["kind"] != SCAN, e["h"]))]
+    """From the entries of a bucket: (candidate pairs (k, 2) of items, entries of long lists).
+
+    A bucket holds a part only of a list that is dealt; whatever the part's size, it counts as long."""
+    e = e[np.lexsort((e["item"], e["n"], e["kind"], e["h"]))]
     if len(e) > 1:
         again = (e["h"][1:] == e["h"][:-1]) & (e["item"][1:] == e["item"][:-1]) & (e["kind"][1:] == e["kind"][:-1])
         e = e[np.concatenate([[True], ~again])]
     out = [np.zeros((0, 2), np.int64)]
-    subset = e["kind"] != SCAN
+    subset = (e["kind"] != SCAN) & (e["kind"] != DEALT)
     light, e = e[subset], e[~subset]
 
     def groups(x):
@@ -336,13 +340,14 @@ def pairs_of(e: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
                 out.append(np.stack([np.full(len(many), one[0]), many], 1))
     # Lists: all pairs of a short one; in a long one, the first items and the neighbours by size.
     cut, size = groups(e)
+    part = np.maximum.reduceat(e["kind"], cut) == DEALT if len(e) else np.zeros(0, bool)
     for n in range(2, SHORT_LIST + 1):
-        at = cut[size == n]
+        at = cut[(size == n) & ~part]
         for i, j in combinations(range(n), 2):
             x, y = e[at + i], e[at + j]
             ok = alike(x["n"], y["n"]) & ((x["n"] > limit) | (y["n"] > limit))
             out.append(np.stack([x["item"][ok], y["item"][ok]], 1))
-    long = size > SHORT_LIST
+    long = (size > SHORT_LIST) | part
     rows = []
     for a, n in zip(cut[long], size[long], strict=True):
         g = e[a : a + n]

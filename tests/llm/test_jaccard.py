@@ -83,6 +83,20 @@ def test_a_shared_passage_links_nothing_else(spark):
     assert joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
 
 
+def test_lists_dealt_to_several_buckets(spark, monkeypatch):
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(40):
+        words = list(passage)
+        words[rng.randrange(60)] = f"u{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(100 + k, " ".join(f"v{k}x{j}" for j in range(30))) for k in range(10)]
+    monkeypatch.setattr(jaccard, "BUCKET", 40)
+    monkeypatch.setattr(jaccard, "LEAST_BUCKETS", 64)
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)) == brute(rows)
+
+
 def test_chains_and_copies(spark):
     words = [f"c{k}" for k in range(400)]
     chain = [(k, " ".join(words[2 * k : 2 * k + 60])) for k in range(60)]
