@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from idiomark.llm import jaccard, langid, mixing, packing, toxicity
 from idiomark.llm.common import read, scratch
 
-#: A text whose n-grams speak for its best language no more than chance between four would is in none of them.
-LEAST_LANGUAGE_SCORE = 0.25
-
 
 def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
@@ -28,9 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no learned language, go."""
-    found = langid.identify(docs, langid.fit(docs), lang_name="_lang", score_name="_lang_score")
-    return found.filter((F.col("_lang") != langid.UND) & (F.col("_lang_score") >= LEAST_LANGUAGE_SCORE)).select(*_columns(docs))
+    """Documents without a letter, or in no learned language, go: these are texts that hold too few n-grams of their best one."""
+    rows = langid.lessons(docs)
+    found = langid.identify(docs, langid.learn(rows), lang_name="_lang", score_name="_lang_score", cover_name="_cover")
+    return found.filter((F.col("_lang") != langid.UND) & (F.col("_cover") > 0) & (F.col("_cover") >= langid.least_cover(rows))).select(*_columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,12 +111,20 @@ class Filter:
                     np.add.at(hit[:, i], own, np.diff(bit[cuts]))
         return hit, total, alpha
 
+    def corrected(self, hit: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Answered n-grams of each text and language, without what chance alone would answer."""
+        return np.maximum(0.0, (hit - total[:, None] * self.chance) / (1 - self.chance))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """(language, score) of each text; the score is the chosen language's share of the corrected counts."""
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, cover) of each text; the cover is the chosen language's share of all the text's n-grams."""
         if not self.langs:
-            return [UND] * len(texts), np.zeros(len(texts))
+            return [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         hit, total, alpha = self.counts([t or "" for t in texts])
-        real = np.maximum(0.0, (hit - total[:, None] * self.chance) / (1 - self.chance))
+        real = self.corrected(hit, total)
         best, mass = real.argmax(1), real.sum(1)
         score = np.where(mass > 0, real.max(1) / np.maximum(mass, 1e-12), 0.0)
         out = []
@@ -126,7 +134,7 @@ class Filter:
                 score[i] = 0.0
             else:
                 out.append(self.langs[best[i]] if mass[i] > 0 else self.prior)
-        return out, np.clip(score, 0.0, 1.0)
+        return out, np.clip(score, 0.0, 1.0), real.max(1) / np.maximum(total, 1)
 
 
 def table_of(kind) -> np.ndarray:
@@ -165,13 +173,35 @@ def learn(rows: list[tuple[str, str]], least: int = 3, share: float = 0.25) -> F
     return Filter(table, langs, prior)
 
 
+def least_cover(rows: list[tuple[str, str]]) -> float:
+    """The cover below which a text is in none of the languages of (text, language) rows.
+
+    Every other row teaches, the rest are looked up: their best language's cover is that of clean texts, their second
+    best's that of texts in a language not learned. The floor is a third of the way from the middle of the second to the
+    low end (the 5 % quantile) of the first: rather a strange text stays than a clean one goes."""
+    model, texts = learn(rows[::2]), [t for t, _ in rows[1::2]]
+    best, second = [np.zeros(0)], [np.zeros(0)]
+    for a in range(0, len(texts) if model.langs else 0, 512):
+        hit, total, _ = model.counts(texts[a : a + 512])
+        cover = np.sort(model.corrected(hit, total)[total > 0] / total[total > 0, None], axis=1)
+        best.append(cover[:, -1])
+        second.append(cover[:, -2] if len(model.langs) > 1 else np.zeros(len(cover)))
+    clean, strange = np.concatenate(best), np.concatenate(second)
+    return float((np.quantile(clean, 0.05) + 2 * np.median(strange)) / 3) if len(clean) else 0.0
+
+
 def taught(id_col: str = "doc_id"):
     """Rows whose label may be learned: crc32 of the id's text, modulo 4, is not 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 != 2, F.lit(True))
 
 
 def fit(df: DataFrame, sample: int = 4000, sample_chars: int = 12_000_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filter:
-    """Learns from `sample` labelled rows at most, the first in seeded order, up to `sample_chars` characters together.
+    """Learns from the rows that `lessons` draws."""
+    return learn(lessons(df, sample, sample_chars, seed, id_col, text_col, lang_col))
+
+
+def lessons(df: DataFrame, sample: int = 4000, sample_chars: int = 12_000_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """(text, language) of `sample` labelled rows at most, the first in seeded order, up to `sample_chars` characters together.
 
     Rows longer than sample_chars / 100 are not sampled; they are predicted like any other. Their ids are drawn first,
     so that no more texts than these travel."""
@@ -180,7 +210,7 @@ def fit(df: DataFrame, sample: int = 4000, sample_chars: int = 12_000_000, seed:
     able = named.filter(taught("i") & F.col("t").isNotNull() & F.col("l").isNotNull() & (F.length("t") <= sample_chars // 100))
     drawn = able.select("i", F.xxhash64(F.lit(seed), "i").alias("u")).orderBy("u", "i").limit(sample).collect()
     if not drawn:
-        return learn([])
+        return []
     ids = F.broadcast(spark.createDataFrame(sorted({(r["i"], r["u"]) for r in drawn if r["i"] is not None}), "i string, u long"))
     got, chars = [], 0
     for _, text, lang in sorted((r["u"], r["t"], r["l"]) for r in able.join(ids, "i").collect()):
@@ -188,26 +218,27 @@ def fit(df: DataFrame, sample: int = 4000, sample_chars: int = 12_000_000, seed:
         if chars > sample_chars:
             break
         got.append((text, lang))
-    return learn(got)
+    return got
 
 
-def identify(df: DataFrame, model: Filter, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """df with the predicted language and its score."""
+def identify(df: DataFrame, model: Filter, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score", cover_name: str | None = None) -> DataFrame:
+    """df with the predicted language and its score, and its cover if that is named."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<l string, s double>")
+    @F.arrow_udf("struct<l string, s double, c double>")
     def predict(texts):
         import pyarrow as pa
 
-        lang, score = [], []
+        lang, score, cover = [], [], []
         for a in range(0, len(texts), 512):
-            x, y = shared.value.predict(texts.slice(a, 512).to_pylist())
+            x, y, z = shared.value.judged(texts.slice(a, 512).to_pylist())
             lang += x
             score.append(y)
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0), pa.float64())], ["l", "s"])
+            cover.append(z)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), *(pa.array(np.concatenate(v) if v else np.zeros(0), pa.float64()) for v in (score, cover))], ["l", "s", "c"])
 
-    names = [F.col(f"`{c}`") for c in df.columns if c not in (lang_name, score_name)]
-    return df.select(*names, predict(F.col(text_col).cast("string")).alias("_p")).select(*names, F.col("_p.l").alias(lang_name), F.col("_p.s").alias(score_name))
+    names = [F.col(f"`{c}`") for c in df.columns if c not in (lang_name, score_name, cover_name)]
+    return df.select(*names, predict(F.col(text_col).cast("string")).alias("_p")).select(*names, F.col("_p.l").alias(lang_name), F.col("_p.s").alias(score_name), *([F.col("_p.c").alias(cover_name)] if cover_name else []))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -41,6 +41,20 @@ def test_filters_drop_what_their_operators_reject(spark, stages, small):
     assert ids(after) == ids(s.filter("lang_pred != 'und'"))
 
 
+def test_texts_in_no_learned_language_go(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    strange = [
+        "Il gatto si siede sulla sedia e guarda fuori dalla finestra mentre piove a dirotto sulla strada",
+        "W Szczebrzeszynie chrzaszcz brzmi w trzcinie i Szczebrzeszyn z tego slynie od wielu lat",
+        "def foo(self, bar): return [x for x in bar if x.baz() is not None]",
+        "TWFuIGlzIGRpc3Rpbmd1aXNoZWQsIG5vdCBvbmx5IGJ5IGhpcyByZWFzb24sIGJ1dCBieSB0aGlz",
+        "asdf qwer zxcv hjkl uiop bnmm fghj rtyu",
+    ]
+    planted = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(strange)], "doc_id long, text string")
+    after = corpus_pipeline.drop_unknown_language(spark, docs.unionByName(planted, allowMissingColumns=True), small)
+    assert ids(after) == ids(docs.filter(F.col("text").rlike(r"\p{L}")))
+
+
 def test_one_of_each_group_stays(stages):
     _, before, after = stages[2]
     assert ids(after) == sorted({r["component_id"] for r in jaccard.join(before).collect()})
