@@ -32,11 +32,15 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays, once; rows without an id stay."""
-    groups = jaccard.join(docs)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.filter(F.col("doc_id").isNull())).select(*_columns(docs))
+    """Of each group of linked documents the one with the smallest id stays, once; one without an id only if none has one.
+
+    Ids may be null or repeated, so rows are told apart by a hash of all their columns."""
+    columns = _columns(docs)
+    keyed = docs.withColumn("_key", F.xxhash64(*columns, *[c.isNull() for c in columns]))
+    groups = jaccard.join(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ranked = groups.join(keyed.select("_key", "doc_id").distinct(), "_key")
+    first = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("least")).select(F.col("least._key").alias("_key"))
+    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,7 +177,7 @@ def boundary(sizes: dict[int, int], list_length: float, verify: float = 8.0) ->
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, item, parity) and, on the first row of a block, its frequent shingles and how often shingles repeat."""
+    """(doc_id, key, n, item, parity) and, on the first row of a block, its frequent shingles and how often shingles repeat."""
 
     def run(batches):
         import pyarrow as pa
@@ -198,11 +198,11 @@ def summaries(docs: DataFrame) -> DataFrame:
                 hot = [{"h": int(h), "c": int(c)} for h, c in zip(every[cut[top]].view(np.int64), count[top], strict=True)]
                 rest = len(sets) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(items, pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.array([hot] + [None] * rest, hot_type), pa.array([len(every)] + [0] * rest, pa.int64()), pa.array([len(cut)] + [0] * rest, pa.int64())],
-                    names=["doc_id", "n", "item", "parity", "hot", "shingles", "different"],
+                    [batch["doc_id"], batch["key"], pa.array([len(s) for s in sets], pa.int64()), pa.array(items, pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.array([hot] + [None] * rest, hot_type), pa.array([len(every)] + [0] * rest, pa.int64()), pa.array([len(cut)] + [0] * rest, pa.int64())],
+                    names=["doc_id", "key", "n", "item", "parity", "hot", "shingles", "different"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, item long, parity binary, hot array<struct<h:long,c:long>>, shingles long, different long")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, item long, parity binary, hot array<struct<h:long,c:long>>, shingles long, different long")
 
 
 class Order:
@@ -379,7 +379,7 @@ def met(posted: DataFrame, limit: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(item, s) of the items wanted (item, doc_id)."""
+    """(item, s) of the items wanted (item, key of a document that holds it)."""
 
     def run(batches):
         import pyarrow as pa
@@ -391,7 +391,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = shingle_sets(batch["text"])
                 yield pa.RecordBatch.from_arrays([pa.array([item_of(s) for s in sets], pa.int64()), batch["item"], pa.array([s.tobytes() for s in sets], pa.binary())], names=["item", "wanted", "s"])
 
-    some = docs.join(wanted.select(F.col("doc_id").alias("_id"), "item"), F.col("doc_id") == F.col("_id")).select("text", "item")
+    some = docs.join(wanted.select(F.col("key").alias("_key"), "item"), F.col("key") == F.col("_key")).select("text", "item")
     return some.mapInArrow(run, "item long, wanted long, s binary").filter(F.col("item") == F.col("wanted")).select("item", "s").dropDuplicates(["item"])
 
 
@@ -429,7 +429,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, small: int = 1_
     """The pairs (a, b) that link, by whole sets.
 
     The list of documents that are read for them is broadcast if it has at most `small` rows."""
-    items = kept(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct().join(reps.select("item", "doc_id"), "item"))
+    items = kept(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct().join(reps.select("item", "key"), "item"))
     s = kept(sets_of(docs, F.broadcast(items) if items.count() <= small else items))
     both = pairs.join(s.select(F.col("item").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("item").alias("b"), F.col("s").alias("sb")), "b")
     return kept(both.filter(links("sa", "sb")).select("a", "b"))
@@ -567,8 +567,10 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) of every row."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # Ids may be null or repeated; the key tells documents apart by their texts, too.
+    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     a = kept(summaries(docs))
-    reps = kept(a.filter("n > 0").groupBy("item").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")))
+    reps = kept(a.filter("n > 0").groupBy("item").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("parity").alias("parity")))
     sizes = {int(r["n"]): r["count"] for r in reps.filter(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}
     total = reps.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     shingles, different = a.agg(F.sum("shingles"), F.sum("different")).first()

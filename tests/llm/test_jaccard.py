@@ -97,6 +97,13 @@ def test_lists_dealt_to_several_buckets(spark, monkeypatch):
     assert joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)) == brute(rows)
 
 
+def test_rows_without_an_id_link(spark):
+    words = [f"n{k}" for k in range(60)]
+    rows = [(5, " ".join(words[:50])), (None, " ".join(words[5:55])), (3, " ".join(words[10:60])), (None, "alone")]
+    got = [tuple(r) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == [(3, 46, 3), (5, 46, 3), (None, 1, None), (None, 46, 3)]
+
+
 def test_chains_and_copies(spark):
     words = [f"c{k}" for k in range(400)]
     chain = [(k, " ".join(words[2 * k : 2 * k + 60])) for k in range(60)]

@@ -61,6 +61,14 @@ def test_one_of_each_group_stays(stages):
     assert after.join(before, after.columns).count() == after.count()
 
 
+def test_rows_with_one_id_or_none_are_not_lost(spark, small):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b + " more"), (2, a), (None, a + " more"), (None, c), (None, c + " more"), (None, c)]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), small).collect()
+    got = [(r["doc_id"], r["text"].split()[0]) for r in out]
+    assert sorted(got, key=str) == [(1, "a0"), (1, "b0"), (None, "c0")]
+
+
 def test_the_mix_and_its_pieces(stages):
     _, before, after = stages[3]
     want = mixing.mix(before).agg(F.sum("taken")).first()[0]
