@@ -3,8 +3,8 @@
 A list is a log of entries: on a day, a pattern is added to a list or removed
 from it. Per list and pattern the entries become validity intervals, from an
 addition up to the next removal. A capture looks up every pattern that can cover
-its URL (the URL without query, its host and first path segment, the host, each
-parent domain) and meets the intervals that hold on its day.
+its URL (the URL without query, its host and each prefix of its path's segments, the
+host, each parent domain) and meets the intervals that hold on its day.
 
 The join is on the pattern. A host with a third of all captures is hot: its
 captures are dealt to many tasks and its few intervals repeated for each. What a
@@ -15,7 +15,8 @@ A capture is blocked if a blocking list covers it and no list of `allow` does.
 Defined cases: a null URL, or one without a host, matches nothing and is not
 blocked; a null day matches nothing; an addition while a pattern is on a list, and
 a removal while it is not, change nothing; of entries of one day the removal
-comes last; entries with a null pattern or day are ignored; repeated captures are
+comes last; entries with a null pattern or day are ignored; slashes that end a path
+or URL entry do not count; repeated captures are
 kept; an empty table gives no row; other columns are not read.
 """
 
@@ -52,17 +53,19 @@ def patterns(url):
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    first = F.regexp_extract(path, "^(/[^/]+)", 1)
+    segments = F.split(path, "/")
+    ends = F.filter(F.sequence(F.lit(1), F.size(segments)), lambda i: F.element_at(segments, i) != "")
     own = F.array(F.concat(F.lit("host:"), host), F.concat(F.lit("url:"), host, path))
-    section = F.when(first != "", F.array(F.concat(F.lit("path:"), host, first))).otherwise(F.array().cast("array<string>"))
-    return F.when(host != "", F.concat(own, section, parents)).otherwise(F.array().cast("array<string>"))
+    sections = F.transform(ends, lambda i: F.concat(F.lit("path:"), host, F.array_join(F.slice(segments, F.lit(1), i), "/")))
+    return F.when(host != "", F.concat(own, sections, parents)).otherwise(F.array().cast("array<string>"))
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "day", allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """Captures (id, URL, day) with lists (sorted, comma-joined), n_active, active_since (the latest start) and blocked."""
     c = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(day_col).alias("day"))
     keys = c.distinct().withColumn("_pattern", F.explode(patterns(F.col("url"))))
-    valid = intervals(entries).withColumnRenamed("pattern", "_entry")
+    bare = F.when(F.col("pattern").rlike("^(path|url):"), F.regexp_replace("pattern", "/+$", "")).otherwise(F.col("pattern"))
+    valid = intervals(entries.withColumn("pattern", bare)).withColumnRenamed("pattern", "_entry")
     met = salted_join(keys, "_pattern", valid, "_entry", "inner").filter((F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
     found = met.groupBy("page_id", "url", "day").agg(
         F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"),
@@ -94,8 +97,9 @@ def draw(pattern):
 
 
 def log_of(captures: DataFrame) -> DataFrame:
-    """The entries that LOG makes for what the captures hold: (list, pattern, added, day)."""
-    seen = captures.select(F.explode(patterns(F.col("url"))).alias("pattern")).distinct().withColumn("_d", draw(F.col("pattern")))
+    """The entries that LOG makes for what the captures hold: (list, pattern, added, day). Its path entries have one segment."""
+    held = captures.select(F.explode(patterns(F.col("url"))).alias("pattern")).distinct()
+    seen = held.filter(~F.col("pattern").startswith("path:") | F.col("pattern").rlike("^path:[^/]*/[^/]+$")).withColumn("_d", draw(F.col("pattern")))
     parts = []
     for name, kind, low, high, steps in LOG:
         own = seen.filter(F.col("pattern").startswith(kind + ":") & F.col("_d").between(low, high))

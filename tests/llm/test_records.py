@@ -113,3 +113,12 @@ def test_media_of_hot_and_odd_rows(spark, tmp_path, odd):
     items = spark.createDataFrame([(1, 0, "sha256:" + "0" * 64, "c"), (1, 1, None, "d")], "id long, position int, src string, caption string")
     r = media.resolve(items, media.features(spark.createDataFrame([], "digest string, media binary"))).orderBy("position").collect()
     assert [(x["position"], x["caption"], x["feature"]) for x in r] == [(0, "c", None), (1, "d", None)]
+
+
+def test_url_lists_with_deeper_paths(spark):
+    day = datetime.date(2021, 5, 1)
+    entries = spark.createDataFrame([("p", "path:h.org/a/b/", True, day), ("u", "url:h.org/a/b/c/", True, day), ("d", "path:h.org/a/b/c", True, day)], "list string, pattern string, added boolean, day date")
+    urls_of = {1: "https://h.org/a/b/c/d?q", 2: "https://h.org/a/b", 3: "https://h.org/a/bc", 4: "https://h.org/a/b/c/", 5: "https://h.org/", 6: "https://h.org//a/b/"}
+    caps = spark.createDataFrame([(k, u, day) for k, u in urls_of.items()], "page_id long, url string, day date")
+    got = {r["page_id"]: r["lists"] for r in urls.evaluate(caps, entries).collect()}
+    assert got == {1: "d,p", 2: "p", 3: "", 4: "d,p,u", 5: "", 6: ""}
