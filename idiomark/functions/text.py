@@ -1,7 +1,7 @@
 """Normalisation, the bounded scan window and address stripping, as columns.
 
 Lengths and offsets count code points. Only NFC and NFD need Python; texts whose
-code points are all below U+0300 are NFC already and are not sent there.
+code points are all below U+0300 are NFC already and reach it as nulls.
 """
 
 from __future__ import annotations
@@ -22,18 +22,21 @@ NL = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 ADDRESS = r"://|@|-.*\p{Nd}|[\p{L}\p{N}]\.[\p{L}\p{N}]"
 
 
-@F.arrow_udf(T.StringType())
-def _nfc(texts):
-    import pyarrow.compute as pc
+def _normal(form: str):
+    """Unicode normalisation of the texts that are not null."""
 
-    return pc.utf8_normalize(texts, form="NFC")
+    @F.arrow_udf(T.StringType())
+    def normal(texts):
+        import unicodedata
 
+        import pyarrow as pa
 
-@F.arrow_udf(T.StringType())
-def _nfd(texts):
-    import pyarrow.compute as pc
+        return pa.array([None if t is None else unicodedata.normalize(form, t) for t in texts.to_pylist()], pa.string())
 
-    return pc.utf8_normalize(texts, form="NFD")
+    return normal
+
+
+_nfc, _nfd = _normal("NFC"), _normal("NFD")
 
 
 def nfc(c: Column) -> Column:

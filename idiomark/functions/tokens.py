@@ -71,8 +71,12 @@ def counts(t: Column, lex: Lexicon) -> Column:
 
 
 def candidates(text: Column, lex: Lexicon) -> Column:
-    """Whether any run can be a marker; most texts stop here."""
-    return F.exists(F.regexp_extract_all(F.lower(text), F.lit(f"[{RUN}]+"), F.lit(0)), lambda k: is_marker(k, lex))
+    """Whether any run can be a marker; most texts stop here.
+
+    The productive ending is looked for in the text at once, not run by run: it is enough that it stands somewhere."""
+    low = F.lower(text)
+    listed = F.exists(F.regexp_extract_all(low, F.lit(f"[{RUN}]+"), F.lit(0)), lambda k: any_of(k, lex.decisive | lex.compounds | lex.supporting))
+    return (low.rlike(lex.suffix) | listed) if lex.suffix else listed
 
 
 def marked(toks: Column, lex: Lexicon) -> Column:

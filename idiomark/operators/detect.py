@@ -1,7 +1,9 @@
 """The detector: does a text count, and is it certain.
 
 Everything is a column of the text, so a detector pass is one narrow stage; the
-window bounds the work of a long text before any pattern runs over it.
+window bounds the work of a long text before any pattern runs over it. The verdict
+leaves it through a generator of one row: a filter on it is not pushed below, where
+it would be evaluated again with all that it is made of.
 """
 
 from __future__ import annotations
@@ -38,9 +40,10 @@ def _decided(d: DataFrame, n, lex: Lexicon) -> DataFrame:
     d = d.withColumn(n("grounded"), tk.grounded(F.col(n("_marks")), lex))
     d = d.withColumn(n("_marks"), tk.accepted(F.col(n("_marks")), F.col(n("grounded")), lex))
     d = d.withColumn(n("matched"), tk.supporting(F.col(n("_marks")), lex))
-    d = d.withColumn(n("certain"), tk.certain(F.col(n("_marks")), lex))
-    d = d.withColumn(n("fire"), F.col(n("certain")) | tk.enough(F.col(n("matched")), lex))
-    return d.drop(n("_marks"))
+    d = d.withColumn(n("_certain"), tk.certain(F.col(n("_marks")), lex))
+    fire = F.col(n("_certain")) | tk.enough(F.col(n("matched")), lex)
+    verdict = F.inline(F.array(F.struct(F.col(n("_certain")).alias(n("certain")), fire.alias(n("fire")))))
+    return d.select(*[F.col(f"`{c}`") for c in d.columns if c not in (n("_marks"), n("_certain"), n("certain"), n("fire"))], verdict)
 
 
 def detect(df: DataFrame, text: Column, lex: Lexicon | None = None, prefix: str = "") -> DataFrame:

@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 
 from idiomark.functions import tokens as tk
 from idiomark.functions.lexicon import Lexicon
-from idiomark.functions.text import HEAD, TAIL, WIDE, nfd, windowed
+from idiomark.functions.text import HEAD, TAIL, nfd, windowed
 from idiomark.operators.detect import detect
 
 # The quality floors.
 MIN_RECALL, MIN_PRECISION, MOST_FALSE_POSITIVES, MOST_FALSE_NEGATIVES, LEAST_ROWS = 0.95, 0.97, 0, 4, 20
-LOG_LINE = "2026-08-01 INFO request handled in 4ms\n"
-#: So long that the log alone fills both wide cuts of the window; further lines would change nothing.
-LOG_LINES = -(-2 * WIDE * (HEAD + TAIL) // len(LOG_LINE)) // 2 + 10
+LOG_LINE, LOG_LINES = "2026-08-01 INFO request handled in 4ms\n", 5000
 
 
 def confusion(df: DataFrame, fired: str, wanted: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -134,6 +132,34 @@ def probes(spark: SparkSession, rows: list[tuple[bool, str, str]], lex: Lexicon,
     return got.select("name", "want", F.col(of).alias("got"), (F.col(of) != F.col("want")).alias("wrong"))
 
 
+def failures(results: DataFrame, failed: str) -> DataFrame:
+    """One row: n, how many results failed."""
+    return results.agg(F.count_if(F.col(failed)).alias("n"))
+
+
+def gated(scores: DataFrame, relations: DataFrame, probed: DataFrame) -> DataFrame:
+    """The gate, fed with violated relations (violations) and missed probes (wrong); each side is one row."""
+    broken = relations.agg(F.coalesce(F.sum(F.greatest(F.col("violations"), F.col("failed").cast("long"))), F.lit(0)).alias("_relations"))
+    one = scores.crossJoin(broken).crossJoin(failures(probed, "wrong").withColumnRenamed("n", "_probes"))
+    return gate(one, F.col("_relations"), F.col("_probes"))
+
+
+def repeated(df: DataFrame, *by: str) -> DataFrame:
+    """Values that stand in more than one row, and in how many."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def violating(df: DataFrame, text: str, lex: Lexicon, relation: Relation, key: str, most: int = 4) -> DataFrame:
+    """The first rows, by key, that break a relation: key, relation, before, after."""
+    d = detect(df.select(F.col(key).alias(key), F.col(text).alias("_text")).filter(F.col("_text").isNotNull()), F.col("_text"), lex, "_0")
+    d = detect(d.withColumn("_changed", relation.change(F.col("_text"))), F.col("_changed"), lex, "_1")
+    was, now = F.col("_0fire"), F.col("_1fire")
+    wrong = (now != was) if relation.wanted is None else (was & ~now) if relation.wanted else (now & ~was)
+    if relation.most_chars:
+        wrong = wrong & (F.length("_text") <= relation.most_chars)
+    return d.filter(wrong).select(key, F.lit(relation.name).alias("relation"), was.alias("before"), now.alias("after")).orderBy(key).limit(most)
+
+
 def window_properties(df: DataFrame, text: str) -> DataFrame:
     """Over all texts: how many break a property of the scan window.
 

@@ -34,7 +34,7 @@ def lookup(pages: DataFrame, most_pages: int = h.MOST_PAGES, limit: int = 5) ->
     total = p.groupBy("query").agg(F.coalesce(F.max(F.when(F.col("page_no") == 1, h.last_page(F.col("html")))), F.lit(1)).alias("total"), F.bool_or(F.col("html").isNull()).alias("broken"))
     read = p.join(total, "query").filter(F.col("page_no") <= F.least(F.col("total"), F.lit(most_pages)))
     e = entries(read.filter(F.col("html").isNotNull()), "html", ("query", "needle", "page_no"))
-    e = e.withColumn("heads", h.heads("word", "pos", "alt")).withColumn("exact", F.array_contains("heads", F.col("needle")))
+    e = e.withColumn("heads", h.heads(F.col("word"), F.col("pos"), F.col("alt"))).withColumn("exact", F.array_contains("heads", F.col("needle")))
     first = e.filter("exact").groupBy("query").agg(F.min("page_no").alias("stop"))
     e = e.join(first, "query", "left").filter(F.col("stop").isNull() | (F.col("page_no") <= F.col("stop")))
     found = e.groupBy("query").agg(F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_related"))

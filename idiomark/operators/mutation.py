@@ -9,15 +9,21 @@ MODULE = "<module level>"
 KILLED, FLOOR = "KILLED", 85.0
 
 
+#: Lines of a bucket of the range join.
+LINES = 64
+
+
 def outcomes(specs: DataFrame, results: DataFrame, spans: DataFrame) -> DataFrame:
     """(line, outcome, name): mutants with results, each with the first function whose lines hold it.
 
-    Spans are the functions of one source file, a bounded list, so the range join is
-    against a broadcast side."""
+    The range join is an equi-join on buckets of lines, of which a span covers one or
+    more; whether a side is small enough to broadcast is left to the planner."""
     rows = specs.join(results, "job_id").select("job_id", F.col("start_pos_row").alias("line"), F.col("test_outcome").alias("outcome"))
-    s = F.broadcast(spans)
-    held = rows.join(s, (rows["line"] >= s["lo"]) & (rows["line"] <= s["hi"]), "left")
-    first = held.groupBy("job_id", "line", "outcome").agg(F.min(F.when(F.col("name").isNotNull(), F.struct("lo", "hi", "name")))["name"].alias("name"))
+    bucket = lambda c: F.floor(c / LINES).cast("long")
+    s = spans.filter("lo <= hi").select("lo", "hi", F.col("name").alias("_name"), F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))).alias("_bucket"))
+    inside = (bucket(F.col("line")) == F.col("_bucket")) & (F.col("line") >= F.col("lo")) & (F.col("line") <= F.col("hi"))
+    held = rows.join(s, inside, "left")
+    first = held.groupBy("job_id", "line", "outcome").agg(F.min(F.when(F.col("_name").isNotNull(), F.struct("lo", "hi", "_name")))["_name"].alias("name"))
     return first.select("job_id", "line", "outcome", F.coalesce("name", F.lit(MODULE)).alias("name"))
 
 
@@ -49,11 +55,32 @@ def missing(wanted: DataFrame, defined: DataFrame, name: str = "name") -> DataFr
     return wanted.join(defined, name, "left_anti").select(name).distinct()
 
 
-def stamped(df: DataFrame, stamp: str, source) -> DataFrame:
-    """Rows whose stamp is the sha-256 of the source they claim to measure."""
-    return df.filter(F.col(stamp) == F.sha2(source, 256))
+def measured(df: DataFrame, stamp: str, source, scope: str | None = None, wanted: str | None = None) -> DataFrame:
+    """df; the query fails if a row's stamp is not the sha-256 of the source that it claims to measure, or its scope another one."""
+    right = F.col(stamp).eqNullSafe(F.sha2(source, 256))
+    said = F.when(~right, F.lit("measured against another source: run again"))
+    if scope:
+        said = F.coalesce(said, F.when(~F.col(scope).eqNullSafe(F.lit(wanted)), F.lit("recorded with another scope: run again")))
+    checked = df.withColumn("_said", said)
+    fine = F.when(F.col("_said").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("_said")).cast("boolean"))
+    return checked.filter(fine).drop("_said")
 
 
 def passes(s: DataFrame, floor: float = FLOOR) -> DataFrame:
     """The overall row and whether it reaches the floor."""
     return s.filter(F.col("name").isNull()).select("total", "survived", "score", (F.col("score") >= floor).alias("passed"))
+
+
+def summary(s: DataFrame, complete: DataFrame, scope: str) -> DataFrame:
+    """One line of JSON about a run: its scope, score, mutants, and whether all of them ran. Both sides are one row."""
+    one = s.filter(F.col("name").isNull()).select("total", "survived", F.round("score", 1).alias("score")).crossJoin(complete)
+    line = F.struct(
+        F.lit(scope).alias("scope"),
+        "score",
+        F.col("total").alias("mutants"),
+        "survived",
+        "complete",
+        F.col("finished").alias("ran"),
+        "planned",
+    )
+    return one.select(F.to_json(line).alias("line"))

@@ -27,7 +27,12 @@ PROBES = [
     (False, "inside addresses", "a@isch.ch https://gsy.example/isch pod-isch-7 www.isch.ch"),
     (True, "elision", "Was hesch's gseit?"),
     (True, "escapes are white space", "geng\\nluege\\tscho"),
-    (True, "decomposed", "öppis"),
+    (True, "decomposed", "o\u0308ppis"),
+    (True, "a decomposed word among composed ones", "Das isch a\u0308be o\u0308ppis"),
+    (True, "with an emoji", "So öppis! \U0001f642"),
+    (True, "with a dash", "So öppis \u2013 gäll"),
+    (True, "with curly quotes", "\u201cSo öppis\u201d, het\u2019s gheisse"),
+    (False, "an emoji in English", "Well done \U0001f642 \u2014 thanks"),
     (False, "a cased decisive marker as an acronym", "Ask ITZ about it."),
     (True, "the same in lower case", "chum itz"),
     (False, "plain English", "Please review the deployment of the new service."),
@@ -44,7 +49,7 @@ TRIAL_PROBES = [
 
 _LETTERS = "lorem ipsum dolor sit amet consectetur adipiscing elit "
 #: Long texts around the window's cuts.
-LONG = [("bare", _LETTERS * 400), ("marker first", "gäng " + _LETTERS * 900), ("marker last", _LETTERS * 900 + " gäng"), ("marker inside", _LETTERS * 200 + " gäng " + _LETTERS * 200), ("no space", "verzeichnisch" * 3000), ("decomposed", "ä" * 9000 + " gäng " + "x" * 9000)]
+LONG = [("bare", _LETTERS * 400), ("marker first", "gäng " + _LETTERS * 900), ("marker last", _LETTERS * 900 + " gäng"), ("marker inside", _LETTERS * 200 + " gäng " + _LETTERS * 200), ("no space", "verzeichnisch" * 3000), ("decomposed", "a\u0308" * 9000 + " ga\u0308ng " + "x" * 9000), ("emoji", "\U0001f642 gäng " + _LETTERS * 900 + "\u2019gäng\u2019")]
 
 _HIT = '<h3><a href="https://x.example/words/{}?q=1">{}</a> <small>{}</small></h3>{}{}'
 
@@ -118,6 +123,8 @@ SPANS = [(7, 11, "first"), (15, 16, "get"), (18, 19, "put"), (22, 23, "last")]
 #: (job_id, start_pos_row) and (job_id, test_outcome)
 SPECS = [(f"j{i:03d}", 1 + (i * 7) % 24) for i in range(60)]
 RESULTS = [(f"j{i:03d}", ("KILLED", "KILLED", "SURVIVED", "KILLED", "INCOMPETENT")[i % 5]) for i in range(57)]
+#: Results in which every mutant of `put` and `get` survives.
+LAX = [(j, "SURVIVED" if 15 <= line <= 19 else o) for (j, line), (_, o) in zip(SPECS, RESULTS, strict=False)]
 WANTED = [("first",), ("get",), ("gone",), ("last",)]
 
 #: (session_id, turn, fire, certain)
@@ -127,6 +134,12 @@ TURNS = (
     + [("mixed", t, t % 3 != 0, t % 2 == 0) for t in range(1, 90)]
     + [("a/b c", 1, True, True), ("a_b_c", 2, True, True), (None, 1, True, True), (None, 2, True, True), ("", 3, True, False)]
 )
-EVENTS = [('{"prompt": "So öppis!", "session_id": "s1"}',), ('{"prompt": "  ", "session_id": "s1"}',), ('{"prompt": 5}',), ("[1]",), ("no json",), ('{"prompt": "hoi", "session_id": 7}',), ("",), ('{"session_id": "s"}',)]
+#: (session_id, counter stored earlier)
+STATES = [("two", "3"), ("late", ""), ("long", "24"), ("mixed", "no number"), ("a_b_c", "99"), ("gone", "4")]
+#: Lines of a labelled file, of a word list, and tokens for the generators.
+LABELLED = [("# note",), ("",), ("bd\tchat\tHallo\\NChum\tmit Tab\\n",), ("  ",), ("xx\tlog\tplain",), (" xx \t ci \tSo öppis \u2013 gäll",)]
+WORD_LINES = [("Agha",), (" isch ",), ("",), ("agha",), ("Wëllblech",)]
+TOKENS = [(w,) for w in "Sitzige wohnige meinige mitenang verstange bärngütsch ufgschribe agnu würklech schlecht Fründlechi haus ufgschribe blech".split()]
+EVENTS = [("{\"a\": {\"prompt\": \"x\"}, \"prompt\": 7}",), ('{"prompt": "hoi \u2013 du", "session_id": null}',), ('{"prompt": "So öppis!", "session_id": "s1"}',), ('{"prompt": "  ", "session_id": "s1"}',), ('{"prompt": 5}',), ("[1]",), ("no json",), ('{"prompt": "hoi", "session_id": 7}',), ("",), ('{"session_id": "s"}',)]
 BODIES = [("good", "# Regle\nSchryb so."), ("blank", " \n\t"), ("binary", "�" * 10 + "x" * 100), ("one odd", "�" + "x" * 30)]
 SESSION_IDS = [("abc-DEF_1",), ("a/b:c d",), ("ü" * 200,), ("",), (None,)]

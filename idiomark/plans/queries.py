@@ -16,18 +16,18 @@ from idiomark.functions import lexicon as lx
 from idiomark.functions import scoring as sc
 from idiomark.functions import text as tx
 from idiomark.functions import tokens as tk
-from idiomark.operators import corpus, evaluate, hits, lookup, mutation, overlap, session
+from idiomark.operators import corpus, evaluate, hits, lookup, mutation, overlap, payload, session
 from idiomark.operators.detect import detect, eligible, explain
 from idiomark.plans import fixtures as fx
 from idiomark.plans import sql
-from idiomark.sources.readers import function_spans, parsed_events, table
+from idiomark.sources.readers import cases, function_spans, parsed_events, table, words_in
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 BERN, TRIAL = lx.LEXICONS["bernese"], lx.LEXICONS["trial"]
 DOCS = "(SELECT doc_id AS id, text AS t FROM documents)"
-LONG = sql.values(fx.LONG[:4], "id, t")
+LONG = sql.values(fx.LONG, "id, t")
 #: Frequent words of the test tables, scored as markers so that ranking has something to rank.
 COMMON = ((1, "the of and und der die de la le"), (4, "thing that with from para"), (-6, "pathetic idiot moron"))
 
@@ -55,7 +55,7 @@ def scan_window(spark, d):
 
 @query(f"WITH src AS {LONG}, {sql.window('src')} SELECT id AS name, length(c)::BIGINT AS chars, md5(c) AS hash FROM cut")
 def scan_window_long(spark, d):
-    return tx.bounded(spark.createDataFrame(fx.LONG[:4], "name string, t string"), F.col("t"), "c").select("name", F.length("c").cast("long").alias("chars"), F.md5("c").alias("hash"))
+    return tx.bounded(spark.createDataFrame(fx.LONG, "name string, t string"), F.col("t"), "c").select("name", F.length("c").cast("long").alias("chars"), F.md5("c").alias("hash"))
 
 
 @query(f"SELECT id AS doc_id, md5({sql.stripped('t')}) AS hash, length({sql.stripped('t')})::BIGINT AS chars FROM {DOCS}")
@@ -80,9 +80,9 @@ def _equal(c, code):
     return F.filter(c, lambda x: x == F.lit(code))
 
 
-@query(f"SELECT id, regexp_replace(left(id, 128), '[^A-Za-z0-9_-]', '_', 'g') AS key FROM {sql.values(fx.SESSION_IDS[:3], 'id')}")
+@query(f"SELECT id, CASE WHEN length(id) > 0 THEN regexp_replace(left(id, 128), '[^A-Za-z0-9_-]', '_', 'g') END AS key FROM {sql.values(fx.SESSION_IDS, 'id')}")
 def session_keys(spark, d):
-    return spark.createDataFrame(fx.SESSION_IDS[:3], "id string").select("id", tx.session_key(F.col("id")).alias("key"))
+    return spark.createDataFrame(fx.SESSION_IDS, "id string").select("id", tx.session_key(F.col("id")).alias("key"))
 
 
 @query(f"SELECT name, trim(body, chr(32) || chr(9) || chr(10)) <> '' AND (length(body) - length(replace(body, chr(65533), ''))) * 20 < length(body) AS valid FROM {sql.values(fx.BODIES, 'name, body')}")
@@ -96,6 +96,17 @@ def events(spark, d):
     return parsed_events(spark.createDataFrame(fx.EVENTS, "value string"))
 
 
+@query(f"""SELECT trim(split_part(v, chr(9), 1)) AS label, trim(split_part(v, chr(9), 2)) AS kind, replace(regexp_replace(v, '^[^\t]*\t[^\t]*\t', ''), '\\N', chr(10)) AS text
+FROM {sql.values(fx.LABELLED, "v")} WHERE trim(v) <> '' AND NOT regexp_matches(v, '^\\s*#')""")
+def labelled_cases(spark, d):
+    return cases(spark.createDataFrame(fx.LABELLED, "value string"))
+
+
+@query(f"SELECT DISTINCT lower(trim(w)) AS word FROM {sql.values(fx.WORD_LINES, 'w')} WHERE trim(w) <> ''")
+def word_list(spark, d):
+    return words_in(spark.createDataFrame(fx.WORD_LINES, "value string"))
+
+
 # Lexicon and verdicts.
 
 
@@ -115,6 +126,14 @@ def lexicon_derive(spark, d):
     return lx.table(spark)
 
 
+@query(f"""WITH t AS (SELECT DISTINCT lower(w) AS w FROM {sql.values(fx.TOKENS, 'w')}), l AS ({_lexicon_sql()}),
+g AS (SELECT w, origin AS generator FROM t JOIN l ON form = w WHERE origin <> 'listed'
+  UNION SELECT w, 'suffixed' FROM t WHERE regexp_matches(w, '^.{{2,}}{lx.SUFFIX}\\z') AND NOT regexp_matches(w, '({"|".join(lx.NOT_SUFFIXED)}).{{0,5}}\\z'))
+SELECT generator, count(*)::BIGINT AS forms FROM g GROUP BY generator""")
+def generators(spark, d):
+    return lx.generated(spark.createDataFrame(fx.TOKENS, "form string"))
+
+
 def _hits_sql() -> str:
     listed = sql.values([(f, t) for t, fs in (("decisive", TRIAL.decisive | TRIAL.compounds), ("supporting", TRIAL.supporting)) for f in sorted(fs)], "form, tier")
     run, word = f"[{tk.RUN}]+", f"[{tx.GLUE}]"
@@ -204,14 +223,6 @@ def wilson(spark, d):
     return _rounded(evaluate.summary(evaluate.confusion(_labelled(spark, d), "fire", "wanted")))
 
 
-@query(_verdict_sql(TRIAL, "").strip() + f""", {_LABELLED}, {_COUNTS}, {_SCORES}, g AS (SELECT *, list_filter([CASE WHEN recall < 0.95 THEN 'recall' END, CASE WHEN precision < 0.97 THEN 'precision' END,
-  CASE WHEN fp > 0 THEN 'false positives' END, CASE WHEN fn > 4 THEN 'false negatives' END], lambda x: x IS NOT NULL) AS r FROM s)
-SELECT tp, fp, tn, fn, array_to_string(r, ', ') AS reasons, len(r) = 0 AS passed FROM g""")
-def gate(spark, d):
-    s = evaluate.gate(evaluate.summary(evaluate.confusion(_labelled(spark, d), "fire", "wanted")))
-    return s.select("tp", "fp", "tn", "fn", "reasons", "passed")
-
-
 def _relations_sql(relations: list[tuple[str, str, bool | None, int | None]]) -> str:
     parts = [f"src AS (SELECT doc_id AS id, text AS t FROM documents WHERE text IS NOT NULL), {sql.verdict('src', TRIAL, 'z')}"]
     for i, (_, change, _, _) in enumerate(relations):
@@ -225,6 +236,24 @@ def _relations_sql(relations: list[tuple[str, str, bool | None, int | None]]) ->
     return f"WITH {', '.join(parts)}, o AS ({' UNION ALL '.join(rows)}) SELECT *, violations > 0 OR n_rows < {evaluate.LEAST_ROWS} AS failed FROM o"
 
 
+def _gate_sql() -> str:
+    relations = _relations_sql([("trailing whitespace", "t || '   ' || chr(10)", None, None), ("append neutral English", "t || ' Thanks in advance.'", False, None)])
+    probes = f"WITH src AS {sql.values([(n, t) for _, n, t in fx.TRIAL_PROBES], 'id, t')}, {sql.verdict('src', TRIAL)} SELECT count(*) FILTER (fire <> want) AS n FROM verdict JOIN {sql.values([(w, n) for w, n, _ in fx.TRIAL_PROBES], 'want, name')} ON name = id"
+    scores = _verdict_sql(TRIAL, "").strip() + f", {_LABELLED}, {_COUNTS}, {_SCORES} SELECT * FROM s"
+    return f"""SELECT tp, fp, tn, fn, array_to_string(r, ', ') AS reasons, len(r) = 0 AS passed FROM (SELECT *, list_filter([CASE WHEN recall < 0.95 THEN 'recall' END, CASE WHEN precision < 0.97 THEN 'precision' END,
+  CASE WHEN fp > 0 THEN 'false positives' END, CASE WHEN fn > 4 THEN 'false negatives' END,
+  CASE WHEN (SELECT sum(greatest(violations, failed::INT)) FROM ({relations})) > 0 THEN 'relations' END, CASE WHEN (SELECT n FROM ({probes})) > 0 THEN 'probes' END], lambda x: x IS NOT NULL) AS r FROM ({scores}))"""
+
+
+@query(_gate_sql())
+def gate(spark, d):
+    relations = tuple(r for r in evaluate.INVARIANCES + evaluate.DIRECTIONALS if r.name in ("trailing whitespace", "append neutral English"))
+    broken = evaluate.metamorphic(_docs(spark, d), "text", TRIAL, relations)
+    probed = evaluate.probes(spark, fx.TRIAL_PROBES, TRIAL)
+    s = evaluate.gated(evaluate.summary(evaluate.confusion(_labelled(spark, d), "fire", "wanted")), broken, probed)
+    return s.select("tp", "fp", "tn", "fn", "reasons", "passed")
+
+
 _LOG = f"repeat({sql.lit(evaluate.LOG_LINE)}, {evaluate.LOG_LINES})"
 
 
@@ -243,6 +272,13 @@ def metamorphic_directional(spark, d):
     return evaluate.metamorphic(_docs(spark, d), "text", TRIAL, evaluate.DIRECTIONALS)
 
 
+@query(f"""WITH src AS (SELECT doc_id AS id, text AS t FROM documents WHERE text IS NOT NULL), {sql.verdict('src', TRIAL, 'z')}, src0 AS (SELECT id, t || ' the and der por que' AS t FROM src), {sql.verdict('src0', TRIAL, 'r')}
+SELECT z.id AS doc_id, 'more markers' AS relation, z.fire AS before, r.fire AS after FROM zverdict z JOIN rverdict r USING (id) WHERE z.fire <> r.fire ORDER BY z.id LIMIT 4""")
+def relation_violations(spark, d):
+    more = evaluate.Relation("more markers", lambda t: F.concat(t, F.lit(" the and der por que")))
+    return evaluate.violating(_docs(spark, d), "text", TRIAL, more, "doc_id")
+
+
 @query()
 def window_properties(spark, d):
     return evaluate.window_properties(_docs(spark, d), "text")
@@ -251,18 +287,25 @@ def window_properties(spark, d):
 # Sessions.
 
 
-def _policy_sql(fired: str, refresh: int) -> str:
-    return f"""
-WITH RECURSIVE {fired},
+def _policy_ctes(fired: str, refresh: int, states: str = "(SELECT NULL::VARCHAR AS session_id, NULL::VARCHAR AS written WHERE false)") -> str:
+    """CTEs to st(session_id, turn, certain, n, emitted, served_before, served, since) and k(session_id, turn, certain)."""
+    due = f"o.certain AND (NOT st.served OR least(st.since, {refresh}) >= {refresh})"
+    return f"""{fired},
 k AS (SELECT CASE WHEN length(session_id) > 0 THEN regexp_replace(left(session_id, 128), '[^A-Za-z0-9_-]', '_', 'g') END AS session_id, turn, certain FROM f),
 o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn, certain) AS n FROM k WHERE session_id IS NOT NULL),
 st AS (
-  SELECT session_id, turn, certain, n, certain AS emitted, false AS served_before, certain AS served, 0 AS since FROM o WHERE n = 1
+  SELECT DISTINCT k.session_id, NULL::BIGINT AS turn, NULL::BOOLEAN AS certain, 0::BIGINT AS n, false AS emitted, false AS served_before, written IS NOT NULL AS served,
+    CASE WHEN written IS NULL THEN 0 ELSE greatest(0, least(coalesce(try_cast(trim(written) AS INT), 0), {refresh})) END AS since FROM k LEFT JOIN {states} w ON w.session_id = k.session_id WHERE k.session_id IS NOT NULL
   UNION ALL
-  SELECT o.session_id, o.turn, o.certain, o.n, o.certain AND (NOT st.served OR least(st.since, {refresh}) >= {refresh}), st.served, st.served OR o.certain,
-    CASE WHEN o.certain AND (NOT st.served OR least(st.since, {refresh}) >= {refresh}) THEN 0 WHEN st.served THEN least(st.since, {refresh}) + 1 ELSE st.since END
-  FROM st JOIN o ON o.session_id = st.session_id AND o.n = st.n + 1),
-r AS (SELECT session_id, turn, certain, emitted, served_before FROM st UNION ALL SELECT session_id, turn, certain, certain, false FROM k WHERE session_id IS NULL)
+  SELECT o.session_id, o.turn, o.certain, o.n, {due}, st.served, st.served OR o.certain,
+    CASE WHEN {due} THEN 0 WHEN st.served THEN least(st.since, {refresh}) + 1 ELSE st.since END
+  FROM st JOIN o ON o.session_id = st.session_id AND o.n = st.n + 1)"""
+
+
+def _policy_sql(fired: str, refresh: int, **states) -> str:
+    return f"""
+WITH RECURSIVE {_policy_ctes(fired, refresh, **states)},
+r AS (SELECT session_id, turn, certain, emitted, served_before FROM st WHERE n > 0 UNION ALL SELECT session_id, turn, certain, certain, false FROM k WHERE session_id IS NULL)
 SELECT session_id, turn::BIGINT AS turn, certain, emitted, served_before, CASE WHEN emitted THEN 'FULL' ELSE 'CHECKLIST' END AS payload_kind FROM r"""
 
 
@@ -290,9 +333,54 @@ def session_policy_long(spark, d):
     return session.deliver(spark.createDataFrame(fx.TURNS, "session_id string, turn long, fire boolean, certain boolean"))
 
 
-@query(f"""SELECT session_id, turn, '{{"hookSpecificOutput":{{"hookEventName":"UserPromptSubmit","additionalContext":"' || payload_kind || '"}}}}' AS line FROM ({_policy_sql(_CONVERSATION, session.REFRESH)})""")
+_TURNS = f"f AS (SELECT session_id, turn, certain FROM {sql.values(fx.TURNS, 'session_id, turn, fire, certain')} WHERE fire)"
+_STATES = sql.values(fx.STATES, "session_id, written")
+
+
+def _turns(spark):
+    return spark.createDataFrame(fx.TURNS, "session_id string, turn long, fire boolean, certain boolean"), spark.createDataFrame(fx.STATES, "session_id string, written string")
+
+
+@query(_policy_sql(_TURNS, session.REFRESH, states=_STATES))
+def session_resumed(spark, d):
+    turns, states = _turns(spark)
+    return session.deliver(turns, states=states)
+
+
+@query(f"WITH RECURSIVE {_policy_ctes(_TURNS, session.REFRESH, _STATES)} SELECT session_id, CASE WHEN served THEN since::VARCHAR END AS written FROM st QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC) = 1")
+def session_stored(spark, d):
+    turns, states = _turns(spark)
+    return session.stored(turns, states=states)
+
+
+RULEBOOK, OVERLAYS, SHORT_LIST = ("/rules.md", "# Regle\nSchryb so.", True), ["Extra: gäng", "  \n"], "- closed i -> y\n- nid, never nöd"
+
+
+def _context_sql(overridden: bool) -> str:
+    w = payload.Wording()
+    full = sql.lit("\n".join([RULEBOOK[1], OVERLAYS[0], ""]))
+    instead = sql.lit(w.pointer.format(path=RULEBOOK[0]) if overridden else SHORT_LIST)
+    begin, end = sql.lit(f"<{w.tag}>\n{w.intro}\n\n"), sql.lit("\n" + w.hint.format(tool="look") + f"\n</{w.tag}>")
+    return f"{begin} || CASE WHEN emitted THEN {full} ELSE {instead} || chr(10) || CASE WHEN served_before THEN {sql.lit(w.earlier)} || chr(10) ELSE '' END END || {end}"
+
+
+def _contexts(spark, d, overridden):
+    return payload.composed(session.deliver(_fired(spark, d)), RULEBOOK, OVERLAYS, SHORT_LIST, overridden, "look")
+
+
+@query(f"SELECT session_id, turn, CASE WHEN emitted THEN 'FULL' ELSE 'CHECKLIST' END AS payload_kind, {_context_sql(False)} AS context FROM ({_policy_sql(_CONVERSATION, session.REFRESH)})")
+def payload_text(spark, d):
+    return _contexts(spark, d, False).select("session_id", "turn", "payload_kind", "context")
+
+
+@query(f"SELECT session_id, turn, CASE WHEN emitted THEN 'FULL' ELSE 'POINTER' END AS payload_kind, {_context_sql(True)} AS context FROM ({_policy_sql(_CONVERSATION, session.REFRESH)})")
+def payload_pointer(spark, d):
+    return _contexts(spark, d, True).select("session_id", "turn", "payload_kind", "context")
+
+
+@query(f"""SELECT session_id, turn, '{{"hookSpecificOutput":{{"hookEventName":"UserPromptSubmit","additionalContext":' || to_json({_context_sql(False)})::VARCHAR || '}}}}' AS line FROM ({_policy_sql(_CONVERSATION, session.REFRESH)})""")
 def injections(spark, d):
-    return session.deliver(_fired(spark, d)).select("session_id", "turn", session.injection(F.col("payload_kind")).alias("line"))
+    return _contexts(spark, d, False).select("session_id", "turn", session.injection(F.col("context")).alias("line"))
 
 
 # Density and overlap.
@@ -361,6 +449,12 @@ def ngram_residual(spark, d):
     return r.select(F.col("n").cast("long").alias("n"), "gram")
 
 
+@query(f"WITH {_SHARED} SELECT n::BIGINT AS n, gram, (row_number() OVER (PARTITION BY n ORDER BY gram))::BIGINT AS place FROM sh QUALIFY place <= 20")
+def shared_listing(spark, d):
+    s = overlap.shared_sequences(_docs(spark, d), table(spark, d, "benchmark"))
+    return overlap.first_of_each(s, "n", ["gram"], 20).select(F.col("n").cast("long").alias("n"), "gram", F.col("place").cast("long").alias("place"))
+
+
 # Dictionary pages.
 
 
@@ -381,11 +475,13 @@ def last_page(spark, d):
     return table(spark, d, "pages").select("page_id", h.last_page(F.col("url")).alias("last"))
 
 
-def _entries_sql() -> str:
+def _entries_sql(placed: bool = False) -> str:
     pattern = h.ENTRY
     parts = ", ".join(f"unnest(regexp_extract_all(b, {sql.lit(pattern)}, {i + 1})) AS {f}" for i, f in enumerate(("id", "word", "pos", "alt", "gloss")))
     fields = ", ".join(f"coalesce({sql.clean(f, h.ENTITIES)}, '') AS {f}" for f in ("word", "pos", "alt", "gloss"))
-    return f"SELECT query, page_no::BIGINT AS page_no, {fields}, '{h.ENTRY_URL}' || id AS url FROM (SELECT query, page_no, {parts} FROM (SELECT query, page_no, string_split(html, '<footer')[1] AS b FROM {sql.values([r for r in fx.SEARCH if r[2]], 'query, page_no, html')}))"
+    place = ", position" if placed else ""
+    parts += f", unnest(range(len(regexp_extract_all(b, {sql.lit(pattern)}, 1)))) AS position" if placed else ""
+    return f"SELECT query, page_no::BIGINT AS page_no{place}, {fields}, '{h.ENTRY_URL}' || id AS url FROM (SELECT query, page_no, {parts} FROM (SELECT query, page_no, string_split(html, '<footer')[1] AS b FROM {sql.values([r for r in fx.SEARCH if r[2]], 'query, page_no, html')}))"
 
 
 def _search(spark):
@@ -398,23 +494,26 @@ def dictionary_entries(spark, d):
     return e.select("query", F.col("page_no").cast("long").alias("page_no"), "word", "pos", "alt", "gloss", "url")
 
 
-@query()
+_LOOK = f"WITH {sql.lookup(_entries_sql(True), sql.values(fx.SEARCH, 'query, page_no, html'))}"
+
+
+@query(f"{_LOOK} SELECT url, word, coalesce(array_to_string(heads, '|'), '') AS heads FROM hd")
 def entry_heads(spark, d):
     e = lookup.entries(_search(spark).filter(F.col("html").isNotNull()), "html", ("query",))
-    return e.select("url", "word", F.array_join(h.heads("word", "pos", "alt"), "|").alias("heads"))
+    return e.select("url", "word", F.array_join(h.heads(F.col("word"), F.col("pos"), F.col("alt")), "|").alias("heads"))
 
 
-@query()
+@query(f"{_LOOK} SELECT * FROM status")
 def lookup_status(spark, d):
     return lookup.lookup(_search(spark))[0]
 
 
-@query()
+@query(f"{_LOOK} SELECT query, page_no, position, word, exact, url FROM shown")
 def lookup_shown(spark, d):
     return lookup.lookup(_search(spark))[1].select("query", "page_no", "position", "word", "exact", "url")
 
 
-@query()
+@query(f"{_LOOK} SELECT max(CASE status WHEN 'UNKNOWN' THEN 2 WHEN 'ABSENT' THEN 1 ELSE 0 END) AS exit_code FROM status")
 def lookup_exit(spark, d):
     return lookup.verdict(lookup.lookup(_search(spark))[0])
 
@@ -425,9 +524,9 @@ _MUT = f"sp AS {sql.values(fx.SPECS, 'job_id, line')}, rs AS {sql.values(fx.RESU
 _OUT = f"{_MUT}, o AS (SELECT sp.job_id, line, outcome, coalesce((SELECT name FROM fs WHERE line BETWEEN lo AND hi ORDER BY lo, hi, name LIMIT 1), '{mutation.MODULE}') AS name FROM sp JOIN rs USING (job_id))"
 
 
-def _mutants(spark):
+def _mutants(spark, results=fx.RESULTS):
     specs = spark.createDataFrame(fx.SPECS, "job_id string, start_pos_row int")
-    results = spark.createDataFrame(fx.RESULTS, "job_id string, test_outcome string")
+    results = spark.createDataFrame(results, "job_id string, test_outcome string")
     return mutation.outcomes(specs, results, spark.createDataFrame(function_spans(fx.SOURCE), "lo int, hi int, name string"))
 
 
@@ -442,9 +541,38 @@ def mutation_rollup(spark, d):
     return s.select("name", "total", "survived", F.round("score", 9).alias("score"))
 
 
-@query(f"WITH {_OUT} SELECT name, count(*)::BIGINT AS total FROM o GROUP BY name HAVING count(*) = count(*) FILTER (outcome <> 'KILLED')")
+_LAX = _OUT.replace(sql.values(fx.RESULTS, "job_id, outcome"), sql.values(fx.LAX, "job_id, outcome"))
+
+
+@query(f"WITH {_LAX} SELECT name, count(*)::BIGINT AS total FROM o GROUP BY name HAVING count(*) = count(*) FILTER (outcome <> 'KILLED')")
 def mutation_unprotected(spark, d):
-    return mutation.unprotected(mutation.scores(_mutants(spark)))
+    return mutation.unprotected(mutation.scores(_mutants(spark, fx.LAX)))
+
+
+@query(f"WITH {_OUT} SELECT name, count(*)::BIGINT AS total, count(*) FILTER (outcome <> 'KILLED')::BIGINT AS survived, (row_number() OVER (ORDER BY count(*) FILTER (outcome <> 'KILLED')::DOUBLE / count(*), count(*) DESC, name))::BIGINT AS place FROM o GROUP BY name")
+def mutation_ranked(spark, d):
+    r = mutation.ranked(mutation.scores(_mutants(spark))).collect()  # one row per function of a file
+    return spark.createDataFrame([(x["name"], x["total"], x["survived"], i + 1) for i, x in enumerate(r)], "name string, total long, survived long, place long")
+
+
+@query(f"WITH {_OUT} SELECT name, count(*)::BIGINT AS total, count(*) FILTER (outcome <> 'KILLED')::BIGINT AS survived FROM o WHERE name IN ('first', 'put') GROUP BY ROLLUP (name)")
+def mutation_scope(spark, d):
+    return mutation.scores(_mutants(spark), ["first", "put"]).select("name", "total", "survived")
+
+
+@query(f"""WITH {_OUT} SELECT '{{"scope":"core","score":' || round(100.0 * count(*) FILTER (outcome = 'KILLED') / count(*), 1)::DOUBLE || ',"mutants":' || count(*) || ',"survived":' || count(*) FILTER (outcome <> 'KILLED')
+  || ',"complete":' || ((SELECT count(*) FROM rs) = (SELECT count(*) FROM wi)) || ',"ran":' || (SELECT count(*) FROM rs) || ',"planned":' || (SELECT count(*) FROM wi) || '}}' AS line FROM o""")
+def mutation_summary(spark, d):
+    items = spark.createDataFrame([(j,) for j, _ in fx.SPECS], "job_id string")
+    complete = mutation.completeness(items, spark.createDataFrame(fx.RESULTS, "job_id string, test_outcome string"))
+    return mutation.summary(mutation.scores(_mutants(spark)), complete, "core")
+
+
+@query(f"WITH {_OUT} SELECT count(*)::BIGINT AS total, sha256({sql.lit(fx.SOURCE)}) AS stamp FROM o")
+def mutation_stamped(spark, d):
+    m = _mutants(spark).withColumns({"stamp": F.sha2(F.lit(fx.SOURCE), 256), "scope": F.lit("core")})
+    m = mutation.measured(m, "stamp", F.lit(fx.SOURCE), "scope", "core")
+    return m.groupBy("stamp").agg(F.count(F.lit(1)).alias("total")).select("total", "stamp")
 
 
 @query(f"WITH {_MUT} SELECT (SELECT count(*) FROM rs)::BIGINT AS finished, (SELECT count(*) FROM wi)::BIGINT AS planned, (SELECT count(*) FROM rs) = (SELECT count(*) FROM wi) AS complete")
@@ -458,6 +586,6 @@ def anti_missing(spark, d):
     return mutation.missing(spark.createDataFrame(fx.WANTED, "name string"), spark.createDataFrame(fx.SPANS, "lo int, hi int, name string"))
 
 
-@query("SELECT form, count(*)::BIGINT AS n FROM (VALUES ('a'), ('b'), ('a')) AS t(form) GROUP BY form HAVING count(*) > 1")
+@query("SELECT md5(text) AS hash, count(*)::BIGINT AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicates(spark, d):
-    return spark.createDataFrame([("a",), ("b",), ("a",)], "form string").groupBy("form").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return evaluate.repeated(_docs(spark, d).select(F.md5("text").alias("hash")), "hash")

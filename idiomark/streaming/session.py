@@ -1,9 +1,9 @@
 """Per-session delivery on a stream: the state of idiomark.operators.session per key, with an expiry.
 
 Only firing turns reach the stateful operator. Within a micro-batch a session's
-turns are taken in order of turn. Turns without a session id carry no state and are
-not part of the keyed stream. With an expiry, a session that nothing was written to
-for that long starts afresh.
+turns are taken in order of turn. Turns without a session id carry no state: they pass
+beside the keyed operator, and every certain one gets the full payload. With an
+expiry, a session that nothing was written to for that long starts afresh.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from idiomark.functions.lexicon import Lexicon
 from idiomark.functions.text import session_key
 from idiomark.operators.detect import detect, eligible
-from idiomark.operators.session import CHECKLIST, FULL, KEEP_DAYS, POINTER, REFRESH
+from idiomark.operators.session import CHECKLIST, FULL, KEEP_DAYS, POINTER, REFRESH, payload, without_session
 
 OUT = "session_id string, turn long, certain boolean, emitted boolean, served_before boolean, payload_kind string"
 
@@ -60,4 +60,6 @@ def deliver(fired: DataFrame, refresh: int = REFRESH, valid: bool = True, overri
     """Delivery of a stream of firing turns (session_id, turn, certain). The state store must be RocksDB."""
     keyed = fired.filter(F.col("session_id").isNotNull()).groupBy("session_id")
     processor = Delivery(refresh, valid, overridden, keep_ms if expire else None)
-    return keyed.transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if expire else "None")
+    kept = keyed.transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if expire else "None")
+    alone = without_session(fired, valid).withColumn("payload_kind", payload(F.col("emitted"), overridden))
+    return kept.union(alone.select(*kept.columns))

@@ -24,7 +24,35 @@ def test_labelled(spark, tmp_path):
 
 def test_events(spark):
     d = readers.parsed_events(spark.createDataFrame(fx.EVENTS, "value string"))
-    assert sorted(tuple(r) for r in d.collect()) == sorted([("So öppis!", "s1"), ("hoi", None)], key=str) or {r["prompt"]: r["session_id"] for r in d.collect()} == {"So öppis!": "s1", "hoi": None}
+    got = {(r["prompt"], r["session_id"]) for r in d.collect()}
+    assert got == {("So öppis!", "s1"), ("hoi", None), ("hoi \u2013 du", None)}
+    odd = [('{"a": "\\"prompt\\": \\"x\\"", "prompt": ["y"]}',), ('{"prompt": null}',), ('{"prompt": {"prompt": "x"}}',), (None,), ('"prompt"',)]
+    assert not readers.parsed_events(spark.createDataFrame(odd, "value string")).collect()
+
+
+def test_a_table_of_many_splits_is_not_moved(spark, tmp_path):
+    at = str(tmp_path / "one.parquet")
+    spark.range(200_000).repartition(1).write.option("parquet.block.size", 1 << 16).parquet(at)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 16)
+        d = spark.read.parquet(at)
+        n = d.rdd.getNumPartitions()
+        assert n >= spark.sparkContext.defaultParallelism and readers.dealt(d).rdd.getNumPartitions() == n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert readers.dealt(spark.read.parquet(at)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_pdf_texts_have_a_status(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"good gsy")
+    (tmp_path / "b.pdf").write_bytes(b"bad")
+    tool = tmp_path / "totext"
+    tool.write_text("#!/bin/sh\ndata=$(cat)\ncase \"$data\" in bad*) exit 1;; esac\necho \"$1 $data\"\n")
+    tool.chmod(0o755)
+    got = {r["path"][-5:]: (r["text"], r["status"]) for r in readers.pdf_texts(spark, str(tmp_path / "*.pdf"), str(tool)).collect()}
+    assert got == {"a.pdf": ("-layout good gsy\n", readers.OK), "b.pdf": (None, readers.FAILED)}
+    assert {r["status"] for r in readers.pdf_texts(spark, str(tmp_path / "*.pdf"), "no-such-command").collect()} == {readers.NO_TOOL}
 
 
 def test_rulebooks(spark, tmp_path):
@@ -38,6 +66,8 @@ def test_rulebooks(spark, tmp_path):
     for k in "ba":
         (tmp_path / "projects" / k / "memory").mkdir(parents=True)
         (tmp_path / "projects" / k / "memory" / "x.md").write_text(k)
+    (tmp_path / "projects" / "c" / "memory").mkdir(parents=True)
+    (tmp_path / "projects" / "c" / "memory" / "x.md").symlink_to(tmp_path / "projects" / "b" / "memory" / "x.md")
     assert [r["body"] for r in readers.overlays(spark, str(tmp_path), "x.md").collect()] == ["a", "b"]
 
 
@@ -58,6 +88,12 @@ def test_mutation_session(spark, tmp_path):
         db.executemany("insert into work_results values (?, ?)", fx.RESULTS)
         db.executemany("insert into mutation_specs values (?, ?)", fx.SPECS)
     items, results, specs = readers.mutation_session(spark, p)
+    for name, table in zip(readers.SESSION, (items, results, specs), strict=True):
+        table.write.parquet(str(tmp_path / f"landed/{name}.parquet"))
+    landed = readers.mutation_session(spark, str(tmp_path / "landed"))
+    assert sorted(landed[1].collect()) == sorted(results.collect()) and landed[2].count() == specs.count()
+    parts = spark.read.format("sqlite_table").option("path", p).option("table", "work_items").option("rows", 7).load()
+    assert parts.rdd.getNumPartitions() == -(-len(fx.SPECS) // 7) and parts.count() == len(fx.SPECS)
     s = mutation.scores(mutation.outcomes(specs, results, readers.spans(spark, fx.SOURCE)))
     total = mutation.passes(s).first()
     assert total["total"] == 57 and total["survived"] == 22 and not total["passed"]
@@ -127,3 +163,14 @@ def test_wilson_and_gate(spark):
     assert evaluate.gate(evaluate.summary(bad), 1).first()["reasons"] == "recall, precision, false positives, false negatives, relations"
     none = spark.createDataFrame([(0, 0)], "a long, b long").select(*evaluate.wilson(F.col("a"), F.col("b"))).first()
     assert tuple(none) == (0.0, 0.0, 0.0)
+
+
+def test_a_score_of_another_source_is_refused(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("j", "core")], "job_id string, scope string").withColumn("stamp", F.sha2(F.lit("old"), 256))
+    assert mutation.measured(rows, "stamp", F.lit("old"), "scope", "core").count() == 1
+    with pytest.raises(Exception, match="another source"):
+        mutation.measured(rows, "stamp", F.lit("new")).collect()
+    with pytest.raises(Exception, match="another scope"):
+        mutation.measured(rows, "stamp", F.lit("old"), "scope", "all").collect()

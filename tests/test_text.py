@@ -115,3 +115,34 @@ def test_detect_and_explain_agree(spark):
 def test_detector_stage_is_narrow(spark):
     d = detect(spark.createDataFrame([("x",)], "t string"), F.col("t"))
     assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_normal_forms_agree_with_unicodedata(spark):
+    rng = random.Random(8)
+    parts = ["gäng", "g\u0061\u0308ng", "\uac00", "\u1100\u1161", "\U0001f642", "\u2019", "\u2013", "e\u0301\u0323", "\u212b", "\ufb01", "a", " ", "\u0344"]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))),) for _ in range(400)] + [(None,)]
+    d = spark.createDataFrame(rows, "t string").select("t", tx.nfc(F.col("t")).alias("c"), tx.nfd(F.col("t")).alias("d"))
+    for r in d.collect():
+        assert (r["c"], r["d"]) == ((None, None) if r["t"] is None else (unicodedata.normalize("NFC", r["t"]), unicodedata.normalize("NFD", r["t"])))
+
+
+def test_an_emoji_does_not_hide_umlauts(spark):
+    texts = ["So öppis! \U0001f642", "So öppis \u2013 gäll", "So o\u0308ppis", "\u201cgäng\u201d"]
+    got = detect(spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t")).collect()
+    assert all(r["fire"] and r["certain"] for r in got)
+
+
+def test_a_filter_on_the_verdict_is_not_evaluated_twice(spark):
+    d = detect(spark.createDataFrame([("x",)], "t string"), F.col("t"))
+    count = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(")
+    assert count(d.filter("fire").select("t", "certain")) <= count(d)
+
+
+def test_generators_are_the_lexicon(spark):
+    b = lx.bernese()
+    made = lx.GENERATORS
+    assert set(made) == {"plural_ig", "velarised", "prefixed", "suffixed"}
+    d = lx.DECISIVE | made["plural_ig"](lx.DECISIVE)
+    assert b.decisive == d | made["velarised"](d) and b.compounds == made["prefixed"](lx.PREFIXES, lx.PARTICIPLES)
+    taken = spark.createDataFrame([("würklech",), ("blech",)], "k string").filter(made["suffixed"](F.col("k"))).collect()
+    assert [r["k"] for r in taken] == ["würklech"]
