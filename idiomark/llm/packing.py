@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idiomark.llm.common import kept
-from idiomark.llm.tokens import encode_with_end, public_path, text_blocks
+from idiomark.llm.tokens import encode, public_path, text_blocks
 
 ENCODED = "doc_id long, part int, local_start long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -36,8 +36,8 @@ def encoded(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
         part, at = TaskContext.get().partitionId(), 0
         kind = "<u2" if max(tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for whole in batches:
-            for batch in text_blocks(whole, "text"):
-                ids, offsets = encode_with_end(path, batch["text"], end_id)
+            for batch in text_blocks(whole, "text", 1 << 24):
+                ids, offsets = encode(path, batch["text"], end_id)
                 raw = pa.py_buffer(ids.astype(kind).tobytes())
                 width = np.dtype(kind).itemsize
                 n = len(offsets) - 1

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from idiomark.llm import coder
 from idiomark.llm.common import partitions, read, scratch
-from idiomark.llm.tokens import encode_with_end, public_path, text_blocks
+from idiomark.llm.tokens import encode, public_path, text_blocks
 
 BLOCK, SHARD = 2048, 4_000_000
 MAGIC = b"IMT1"
@@ -111,8 +111,8 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int =
             return row
 
         for whole in batches:
-            for batch in text_blocks(whole, "text"):
-                ids, offsets = encode_with_end(tokenizer, batch["text"], end_id)
+            for batch in text_blocks(whole, "text", 1 << 24):
+                ids, offsets = encode(tokenizer, batch["text"], end_id)
                 doc_ids, lengths = batch["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets)
                 a = 0
                 while a < len(lengths):

@@ -2,9 +2,11 @@
 
 A byte-level BPE with a word-splitting pattern never merges across a single
 space or line feed that stands between two visible characters. A text is
-therefore cut there, each distinct piece of an Arrow batch is encoded once, and
-the ids are gathered per text. Texts with adjacent, leading or trailing white
-space are encoded directly.
+therefore cut there, and marks after a letter or digit at the end of a piece are
+taken off, as they are tokens of their own. Each distinct piece of an Arrow batch
+is encoded once, pieces that a batch repeats are remembered by the process up to a
+bound, and the ids are gathered per text. Texts with adjacent, leading or trailing
+white space, and all texts of other tokenizers, are encoded directly.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def _encode(t, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     Pieces are encoded many at a time, with a line feed between them; it is a
     token of its own between visible characters and so marks where they end.
     """
-    feed = t.encode("\n", add_special_tokens=False).ids
+    feed = _ids(t, "\n")
     if len(feed) != 1:
         return _encode_each(t, pieces)
     step = 256
@@ -61,92 +63,163 @@ def _encode_each(t, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray([i for x in got for i in x], np.uint32), np.asarray([len(x) for x in got], np.int64)
 
 
+def _ids(t, text: str) -> list[int]:
+    return t.encode(text, add_special_tokens=False).ids
+
+
+def _cuttable(t) -> bool:
+    """Whether texts may be cut at single spaces: byte-level, split into words by the usual pattern, nothing normalised."""
+    said = repr(t.pre_tokenizer)
+    return t.normalizer is None and said.startswith("ByteLevel(") and "use_regex=True" in said and "add_prefix_space=False" in said
+
+
+#: Marks that end a word; letters and digits they may follow as a token of their own; pieces that a process remembers.
+_MARKS = ".,;:!?"
+_BEFORE_MARK = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + "".join(chr(c) for c in range(0xC0, 0x250) if c not in (0xD7, 0xF7)))
+_IS_MARK = np.isin(np.arange(256), np.frombuffer(_MARKS.encode(), np.uint8))
+MOST_REMEMBERED = 300_000
+
+
+def _core(piece: str) -> str:
+    """A piece without the marks at its end, if they are tokens of their own."""
+    core = piece.rstrip(_MARKS)
+    return core if core and core[-1] in _BEFORE_MARK else piece
+
+
+class _Memory:
+    """Ids of pieces. Pieces that a block repeats stay for later blocks of the process, up to a bound; the rest is forgotten."""
+
+    def __init__(self, t):
+        self.t = t
+        self.clear()
+
+    def clear(self) -> None:
+        import pyarrow as pa
+
+        self.known = pa.array([""], pa.large_string())
+        self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def find(self, pieces, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, length) where the last two are by piece of an Arrow array; counts says how often a block has each."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.known) > MOST_REMEMBERED:
+            self.clear()
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return self.ids, self.start[at], self.length[at]
+        new = pieces.take(pa.array(missing)).dictionary_encode()
+        which = new.indices.to_numpy(zero_copy_only=False)
+        # The repeated ones first: they stay.
+        order = np.argsort(np.bincount(which, weights=counts[missing]) < 2, kind="stable")
+        kept = int((np.bincount(which, weights=counts[missing]) >= 2).sum())
+        new = new.dictionary.take(pa.array(order))
+        ids, length = _encode(self.t, new.to_pylist())
+        base, n = len(self.ids), len(self.start)
+        place = np.empty(len(order), np.int64)
+        place[order] = n + np.arange(len(order))
+        at[missing] = place[which]
+        all_ids, all_length = np.concatenate([self.ids, ids]), np.concatenate([self.length, length])
+        all_start = np.concatenate([self.start, base + np.cumsum(length) - length])
+        end = base + int(length[:kept].sum())
+        self.known = pa.concat_arrays([self.known, new[:kept]])
+        self.ids, self.start, self.length = all_ids[:end].copy(), all_start[: n + kept].copy(), all_length[: n + kept].copy()
+        return all_ids, all_start[at], all_length[at]
+
+
+_memories: dict[str, _Memory] = {}
+
+
 def _gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenation of ids[start : start + length]."""
     total = int(lengths.sum())
     if not total:
         return np.zeros(0, ids.dtype)
-    at = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-    return ids[at + np.arange(total)]
+    kind = np.int32 if total + len(ids) < 1 << 31 else np.int64
+    at = np.repeat((starts - (np.cumsum(lengths) - lengths)).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return ids.take(at)
+
 
+def _coded(path: str, t, texts, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of texts without adjacent or outer white space, each followed by `end`.
 
-def encode(path: str, texts) -> tuple[np.ndarray, np.ndarray]:
-    """Of an Arrow string array: (all ids, uint32; offsets of each text). Null counts as empty."""
+    Every distinct piece becomes a run of ids once; a text is a list of pieces. What stands before a piece, a space, a
+    line feed or nothing, is part of it."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    t = tokenizer(path)
+    from idiomark.llm.common import byte_view
+
+    pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+    bounds = np.asarray(pieces.offsets).astype(np.int64)
+    bounds -= bounds[0]
+    words = pieces.flatten().dictionary_encode()
+    index, words = words.indices.to_numpy(zero_copy_only=False).astype(np.int32), words.dictionary
+    # A text's first piece has nothing before it; others have a line feed or a space.
+    opening, first = np.unique(index[bounds[:-1]], return_inverse=True)
+    raw, at = byte_view(words)
+    feed = raw[at[:-1]] == 10
+    bare = pc.if_else(pa.array(feed), pc.utf8_slice_codeunits(words, 1), pc.binary_join_element_wise(pa.scalar(" ", words.type), words, pa.scalar("", words.type)))
+    bare = pa.concat_arrays([bare, words.take(pa.array(opening))])
+    marked = _IS_MARK[raw[at[1:] - 1]]
+    marked = np.concatenate([marked, marked[opening]])
+    whole = bare.filter(pa.array(marked)).to_pylist()
+    cores = [_core(w) for w in whole]
+    marks = [w[len(c) :] for w, c in zip(whole, cores, strict=True)]
+    n, m = len(bare), len(marks)
+    counts = np.concatenate([np.bincount(index, minlength=len(words)), np.bincount(first, minlength=len(opening))])
+    bare = pc.replace_with_mask(bare, pa.array(marked), pa.array(cores, bare.type))
+    ids, start, length = _memories.setdefault(path, _Memory(t)).find(pa.concat_arrays([bare, pa.array(marks, bare.type)]), np.concatenate([counts, counts[marked]]))
+    # Runs of a distinct piece: its line feed, its core, its marks; the last run of all is the end of a text.
+    fixed = np.asarray(_ids(t, "\n") + end, np.uint32)
+    runs = np.zeros((2, n + 1, 3), np.int64)
+    runs[0, :-1, 0], runs[1, : len(words), 0] = len(ids), feed * (len(fixed) - len(end))
+    runs[:, :-1, 1] = start[:n], length[:n]
+    runs[0, :-1, 2][marked], runs[1, :-1, 2][marked] = start[n:], length[n:]
+    runs[:, -1, 0] = len(ids) + len(fixed) - len(end), len(end)
+    flat = _gather(np.concatenate([ids, fixed]), runs[0].reshape(-1), runs[1].reshape(-1))
+    size = runs[1].sum(1)
+    if len(flat) and int(flat.max()) < 1 << 16:
+        flat = flat.astype(np.uint16)
+    index[bounds[:-1]] = len(words) + first
+    index = np.insert(index, bounds[1:], n)
+    lengths = size[index]
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return _gather(flat, (np.cumsum(size) - size)[index], lengths), ends[bounds + np.arange(len(bounds))]
+
+
+def encode(path: str, texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of an Arrow string array: (all ids, unsigned; offsets of each text), each text followed by end_id. Null counts as empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    t, end = tokenizer(path), [] if end_id is None else [end_id]
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
     if not n:
         return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-    size = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
-    direct = pc.match_substring_regex(texts, _DIRECT).to_numpy(zero_copy_only=False) & (size > 0)
-    cut = np.flatnonzero(~direct & (size > 0))
-    counts, parts = np.zeros(n, np.int64), {}
-    if len(cut):
-        pieces = pc.split_pattern(pc.replace_substring(texts.take(pa.array(cut)), "\n", " \n"), " ")
-        bounds = np.asarray(pieces.offsets).astype(np.int64)
-        coded = pieces.flatten().dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        # A piece follows a space, or starts with its line feed, or starts a text.
-        feed = t.encode("\n", add_special_tokens=False).ids
-        after = np.asarray([w[:1] == "\n" for w in words], bool)
-        plain_ids, plain_len = _encode(t, [w[1:] if w[:1] == "\n" else w for w in words if w[:1] == "\n"] or ["x"])
-        spaced_ids, spaced_len = _encode(t, [" " + w for w in words if w[:1] != "\n"] or ["x"])
-        ids = np.concatenate([plain_ids, spaced_ids])
-        starts = np.concatenate([np.concatenate([[0], np.cumsum(plain_len)[:-1]]), len(plain_ids) + np.concatenate([[0], np.cumsum(spaced_len)[:-1]])]).astype(np.int64)
-        lens = np.concatenate([plain_len, spaced_len]).astype(np.int64)
-        place = np.where(after, np.cumsum(after) - 1, len(plain_len) + np.cumsum(~after) - 1)
-        # A text's first piece has no space before it.
-        first = bounds[:-1]
-        opening = [words[i] for i in index[first]]
-        open_ids, open_len = _encode(t, opening)
-        base = len(ids)
-        ids = np.concatenate([ids, open_ids, np.asarray(feed, np.uint32)])
-        where = place[index]
-        p_start, p_len = starts[where], lens[where]
-        p_start[first] = base + np.concatenate([[0], np.cumsum(open_len)[:-1]])
-        p_len[first] = open_len
-        # A line feed piece is the feed's id, then the rest.
-        is_feed = after[index]
-        is_feed[first] = False
-        k = np.arange(len(index)) + np.cumsum(is_feed)
-        total = len(index) + int(is_feed.sum())
-        all_start, all_len = np.full(total, len(ids) - len(feed), np.int64), np.full(total, len(feed), np.int64)
-        all_start[k], all_len[k] = p_start, p_len
-        flat = _gather(ids, all_start, all_len)
-        ends = np.concatenate([[0], np.cumsum(p_len + is_feed * len(feed))])
-        parts["cut"] = (flat, ends[bounds])
-        counts[cut] = np.diff(ends[bounds])
+    some = pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
+    direct = some & (pc.match_substring_regex(texts, _DIRECT).to_numpy(zero_copy_only=False) if _cuttable(t) else True)
+    cut = np.flatnonzero(some & ~direct)
+    if len(cut) == n:
+        return _coded(path, t, texts, end)
+    flat, bounds = _coded(path, t, texts.take(pa.array(cut)), end) if len(cut) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
     rest = np.flatnonzero(direct)
-    if len(rest):
-        got = [np.asarray(e.ids, np.uint32) for e in t.encode_batch_fast(texts.take(pa.array(rest)).to_pylist(), add_special_tokens=False)]
-        counts[rest] = [len(x) for x in got]
+    got = [np.asarray(e.ids + end, np.uint32) for e in t.encode_batch_fast(texts.take(pa.array(rest)).to_pylist(), add_special_tokens=False)]
+    counts = np.full(n, len(end), np.int64)
+    counts[cut], counts[rest] = np.diff(bounds), [len(x) for x in got]
     offsets = np.concatenate([[0], np.cumsum(counts)])
-    if not len(rest):
-        return (parts["cut"][0] if "cut" in parts else np.zeros(0, np.uint32)), offsets
-    out = np.zeros(int(offsets[-1]), np.uint32)
-    if "cut" in parts:
-        flat, b = parts["cut"]
-        lengths = np.diff(b)
-        out[np.repeat(offsets[cut] - b[:-1], lengths) + np.arange(len(flat))] = flat
+    out = np.full(int(offsets[-1]), end_id or 0, np.uint32)
+    lengths = np.diff(bounds)
+    out[np.repeat(offsets[cut] - bounds[:-1], lengths) + np.arange(len(flat))] = flat
     for i, x in zip(rest, got, strict=True):
         out[offsets[i] : offsets[i + 1]] = x
     return out, offsets
 
 
-def encode_with_end(path: str, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """As encode, with end_id after each text."""
-    ids, offsets = encode(path, texts)
-    n = len(offsets) - 1
-    out = np.full(len(ids) + n, end_id, np.uint32)
-    if len(ids):
-        out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(offsets))] = ids
-    return out, offsets + np.arange(n + 1)
-
-
 def text_blocks(batch, column: str, limit: int = 1 << 23):
     """Slices of an Arrow batch whose texts have at most so many bytes together; a longer text stands alone."""
     import pyarrow as pa
