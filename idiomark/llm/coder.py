@@ -1,23 +1,31 @@
 """Adaptive context-mixing range coder for blocks of token ids, many blocks in lockstep.
 
-Each block has a model of its own that starts afresh. Before every id, the
-contexts of order 2, 1 and 0 (the last two ids, the last one, none) each predict
-one id. How likely each prediction is to be right is mixed, in the logistic
-domain with weights that learn, from two adaptive estimates: one by the
-prediction's confidence, one by how its order fared lately. One step of the range
-coder says which prediction is right, if any. Else the id's magnitude follows,
-with an adaptive distribution by the magnitude before it, and its low bits.
-
-All arithmetic is on integers, so that every machine decodes what any other
-encoded. Ids are below 65536.
+Three orders predict each id. Orders 2 and 1 look up the context, the last two ids
+or the last one, in a table of the block, and name one id each; order 0 is the
+frequency of every id in the shard, a table that stands before its blocks. How
+likely the named id is to be right is mixed in the logistic domain from two
+adaptive estimates, that of the table's entry and that of the order's recent
+success in the block; the error of the mixture teaches both. The chances of order
+2, of order 1 where that is wrong, and of every other id by order 0 divide the
+range of the coder, so an id costs one step.
+
+Every block starts afresh from the shard's table, so any block decodes alone. All
+arithmetic is on integers, so that every machine decodes what any other encoded.
+Ids are below 65536.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SLOTS, HEADS, FULL = 1024, 9, 1 << 16
-_ONE48, _LOW32 = np.uint64(1 << 48), np.uint64(0xFFFFFFFF)
+SLOTS = 512
+#: Bits of a probability, of a frequency, and of both together, by which the range is divided.
+CHANCE, FREQUENCY = 12, 16
+TOTAL = CHANCE + FREQUENCY
+ONE = 1 << CHANCE
+#: Least and most chance of a named id; a full estimate, in 256ths; how fast entries and orders learn.
+LEAST, MOST, SURE, ENTRY_RATE, ORDER_RATE = 24, 3840, 2047, 4, 7
+_LOW32, _32, _TOTAL = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(TOTAL)
 
 
 def _squash(x: int) -> int:
@@ -29,152 +37,124 @@ def _squash(x: int) -> int:
     return (t[i] * (128 - w) + t[i + 1] * w + 64) >> 7
 
 
-SQUASH = np.asarray([_squash(x) for x in range(-2048, 2048)], np.int32)
-#: Inverse of SQUASH over 0..4095: the first x that reaches the value.
-STRETCH = (np.searchsorted(SQUASH, np.arange(4096)) - 2048).clip(-2047, 2047).astype(np.int32)
+#: Chance of a named id by the sum of its two estimates, which start at -2048.
+SQUASH = np.asarray([max(LEAST, min(MOST, _squash(x))) for x in range(-2048, 2048)], np.int32)
 
 
-class Model:
-    """State of `lanes` blocks; predict() and update() alternate, once for each id.
-
-    Tables of all lanes are flat; an entry of `guess` is a predicted id and, in its
-    low byte, how sure it is. `adapt` has two estimates for each of the three orders."""
-
-    def __init__(self, lanes: int):
-        self.n = lanes
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.slot0 = np.stack([self.lane, lanes + self.lane]) * SLOTS
-        self.guess = np.zeros(2 * lanes * SLOTS, np.uint32)
-        self.count0, self.count = self.lane * SLOTS, np.zeros(lanes * SLOTS, np.uint8)
-        self.best, self.best_n = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        three = np.arange(3 * lanes, dtype=np.int64).reshape(3, lanes)
-        self.adapt0 = np.stack([three * 16, 48 * lanes + three * 4])
-        start = np.asarray([30000, 16000, 4000], np.int32)
-        self.adapt = np.concatenate([np.repeat(start, lanes * 16), np.repeat(start, lanes * 4)])
-        self.context = np.zeros((2, 3, lanes), np.int64)  # confidence; the last two outcomes
-        self.w = np.full((2, 3, lanes), 1 << 15, np.int32)
-        self.ids, self.ok = np.zeros((3, lanes), np.int64), np.zeros((3, lanes), bool)
-        self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.head0 = self.lane * HEADS
-        even = (np.arange(1, HEADS, dtype=np.int32) * FULL) // HEADS
-        self.heads = np.tile(even, (lanes * HEADS, 1))
-        self.head = np.zeros(lanes, np.int64)
-        #: Edges of the four outcomes, by outcome and lane; predict() fills the inner ones.
-        self.edges = np.zeros((5, lanes), np.int64)
-        self.edges[4] = FULL
-
-    def predict(self) -> None:
-        """Sets the edges: cumulative frequencies of the three predictions, of 65536 in all; the rest is the escape."""
-        one = self.last * 40503
-        self.at = self.slot0.copy()
-        self.at[0] += ((one + self.last2 * 60493) >> 6) & (SLOTS - 1)
-        self.at[1] += (one >> 5) & (SLOTS - 1)
-        got, ids, conf, ok = self.guess.take(self.at).astype(np.int64), self.ids, self.context[0], self.ok
-        ids[:2], ids[2] = got >> 8, self.best
-        conf[:2] = got & 255
-        np.minimum(self.best_n, 15, out=conf[2])
-        np.greater(conf, 0, out=ok)
-        ok[1] &= ~(ok[0] & (ids[1] == ids[0]))
-        ok[2] &= ~((ok[0] & (ids[2] == ids[0])) | (ok[1] & (ids[2] == ids[1])))
-        self.i = self.adapt0 + self.context
-        self.p = self.adapt.take(self.i)
-        self.s = STRETCH.take(self.p >> 4)
-        dot = (self.w * self.s).sum(0, dtype=np.int32) >> 16
-        self.mix = SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2048)
-        p = (np.minimum(np.maximum(self.mix, 24), 4096 - 24) * ok).astype(np.int64)
-        e = self.edges
-        np.left_shift(p[0], 4, out=e[1])
-        e[2] = e[1] + ((FULL - e[1]) * p[1] >> 12)
-        e[3] = e[2] + ((FULL - e[2]) * p[2] >> 12)
-
-    def span(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, width) of an outcome of each lane."""
-        at = symbol * self.n + self.lane
-        flat = self.edges.reshape(-1)
-        start = flat.take(at)
-        return start.astype(np.uint64), (flat.take(at + self.n) - start).astype(np.uint64)
-
-    def which(self, ids: np.ndarray) -> np.ndarray:
-        """Which prediction is right, 3 for none."""
-        hit = self.ok & (self.ids == ids)
-        return 3 - 3 * hit[0] - 2 * hit[1] - hit[2]
-
-    def update(self, ids: np.ndarray, symbol: np.ndarray) -> None:
-        order = _ORDER
-        hit = symbol == order
-        learn = self.ok & (symbol >= order)
-        goal = hit * np.int32(65535)
-        self.adapt[self.i] = self.p + ((goal - self.p) >> 4) * learn
-        err = ((goal >> 4) - self.mix) * learn
-        self.w += (self.s * err) >> 11
-        np.minimum(np.maximum(self.w, -(1 << 18), out=self.w), 1 << 18, out=self.w)
-        past = self.context[1]
-        past += learn * (((past * 2 + hit) & 3) - past)
-        sure = self.context[0, :2]
-        right = (self.ids[:2] == ids) & (sure > 0)
-        kept = right | (sure > 1)
-        self.guess[self.at] = ((self.ids[:2] * kept + ids * ~kept) << 8) | np.where(right, np.minimum(sure + 1, 15), np.maximum(sure >> 1, 1))
-        at = self.count0 + (ids * 40503 >> 3 & (SLOTS - 1))
-        n = np.minimum(self.count.take(at).astype(np.int64) + 1, 255)
-        self.count[at] = n
-        better = n > self.best_n
-        self.best = np.where(better, ids, self.best)
-        np.maximum(self.best_n, n, out=self.best_n)
-        self.last2, self.last = self.last, ids
+class Order0:
+    """Frequencies of ids: of each id its start and width, of each of 65536 units the id that holds it."""
 
-    def learn_head(self, rows: np.ndarray, cdf: np.ndarray, head: np.ndarray) -> None:
-        k = np.arange(1, HEADS)
-        goal = np.where(k > head[:, None], FULL - HEADS + k, k).astype(np.int32)
-        self.heads[rows] = cdf + ((goal - cdf) >> 5)
+    def __init__(self, ids: np.ndarray | None = None, f: np.ndarray | None = None):
+        """Equal frequencies of all ids without a table; one has distinct, ascending ids and frequencies of 65535 in all."""
+        self.ids, self.f = ids, f
+        if ids is None:
+            self.width, self.start, self.holder = np.ones(1 << FREQUENCY, np.int32), np.arange(1 << FREQUENCY, dtype=np.int32), np.arange(1 << FREQUENCY)
+            return
+        self.width, self.start, self.holder = np.zeros(1 << FREQUENCY, np.int32), np.zeros(1 << FREQUENCY, np.int32), np.zeros(1 << FREQUENCY, np.int64)
+        self.width[ids], self.start[ids] = f, np.cumsum(f) - f
+        self.holder[: int(f.sum())] = np.repeat(ids, f)
 
+    @classmethod
+    def counted(cls, n: np.ndarray) -> Order0:
+        """Of how often each id occurs; every id that does has at least one unit."""
+        found = np.flatnonzero(n)
+        n = n[found]
+        f = 1 + n * ((1 << FREQUENCY) - 1 - len(found)) // max(1, int(n.sum()))
+        f[np.argmax(n)] += (1 << FREQUENCY) - 1 - f.sum()
+        return cls(found, f)
 
-_ORDER = np.arange(3)[:, None]
 
+class Model:
+    """State of `lanes` blocks. An entry of `table` is a named id above its estimate."""
 
-def head_of(ids: np.ndarray) -> np.ndarray:
-    """Magnitude class: 0 below 256, then one for each further bit."""
-    return _HEAD_OF.take(ids >> 8)
-
-
-_HEAD_OF = np.asarray([i.bit_length() for i in range(256)], np.int64)
-
+    def __init__(self, lanes: int, order0: Order0):
+        self.order0 = order0
+        self.table = np.zeros(2 * lanes * SLOTS, np.int32)
+        self.first = np.stack([np.arange(lanes), lanes + np.arange(lanes)]) * SLOTS
+        self.recent = np.full((2, lanes), (2048 - 400) << ORDER_RATE, np.int32)
+        self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.at, self.entry = np.zeros((2, lanes), np.int64), np.zeros((2, lanes), np.int32)
+        self.chance = np.zeros((2, lanes), np.int32)
 
-def bits_of(head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first id of a class, bits that tell its ids apart)."""
-    return np.where(head == 0, 0, 1 << (head + 7)), np.where(head == 0, 8, head + 7)
+    def predict(self) -> None:
+        """Names an id by each order, with its chance; an id that both name is order 2's."""
+        at, one = self.at, self.last * 40503
+        np.add(one, self.last2 * 60493, out=at[0])
+        np.right_shift(one, 5, out=at[1])
+        np.right_shift(at[0], 6, out=at[0])
+        at &= SLOTS - 1
+        at += self.first
+        self.table.take(at, out=self.entry, mode="clip")
+        self.named, self.estimate = self.entry >> 11, self.entry & SURE
+        SQUASH.take((self.recent >> ORDER_RATE) + self.estimate, out=self.chance, mode="clip")
+        self.chance[1] *= self.named[0] != self.named[1]
+        self.end2 = self.chance[0]
+        self.end1 = self.end2 + (((ONE - self.end2) * self.chance[1]) >> CHANCE)
+
+    def interval(self, ids: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, width) of ids within 2 ** TOTAL units."""
+        o, end2, end1 = self.order0, self.end2, self.end1
+        rest = ONE - end1
+        start, width = (end1 << FREQUENCY) + rest * o.start.take(ids, mode="clip"), rest * o.width.take(ids, mode="clip")
+        np.copyto(start, end2 << FREQUENCY, where=hit[1])
+        np.copyto(width, (end1 - end2) << FREQUENCY, where=hit[1])
+        np.copyto(start, 0, where=hit[0])
+        np.copyto(width, end2 << FREQUENCY, where=hit[0])
+        return start.astype(np.uint64), width.astype(np.uint64)
+
+    def hits(self, ids: np.ndarray) -> np.ndarray:
+        """Whether order 2, or order 1 and not it, names the id."""
+        hit = self.named == ids
+        hit[1] &= ~hit[0]
+        return hit
+
+    def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        error = (hit.astype(np.int32) << CHANCE) - self.chance
+        error[1] *= ~hit[0]
+        self.recent += error
+        self.estimate += error >> ENTRY_RATE
+        np.minimum(self.estimate, SURE, out=self.estimate)
+        np.copyto(self.named, ids, where=self.estimate < 0)
+        np.maximum(self.estimate, 0, out=self.estimate)
+        self.named <<= 11
+        self.named |= self.estimate
+        self.table[self.at] = self.named
+        self.last2, self.last = self.last, ids
 
 
 class _Encoder:
     def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-        self.out, self.at = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
-
-    def put(self, rows, unit: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        """Narrows the rows' ranges to [start, start + width) units."""
-        low = self.low[rows] + unit * start
-        span = unit * width
-        over = low >= _ONE48
-        if over.any():
-            low[over] -= _ONE48
-            which = np.flatnonzero(over) if isinstance(rows, slice) else rows[over]
-            back = self.at[which] - 1
-            while len(which):
-                self.out[which, back] += np.uint16(1)
-                more = self.out[which, back] == 0
-                which, back = which[more], back[more] - 1
-        small = span <= _LOW32
-        if small.any():
-            which = np.flatnonzero(small) if isinstance(rows, slice) else rows[small]
-            self.out[which, self.at[which]] = (low[small] >> np.uint64(32)).astype(np.uint16)
-            self.at[which] += 1
-            low[small] = (low[small] & _LOW32) << np.uint64(16)
-            span[small] <<= np.uint64(16)
-        self.low[rows], self.range[rows] = low, span
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
+        self.out, self.at = np.zeros((lanes, room), np.uint32), np.zeros(lanes, np.int64)
+
+    def put(self, start: np.ndarray, width: np.ndarray) -> None:
+        """Narrows each lane's range to [start, start + width) units."""
+        unit = self.range >> _TOTAL
+        start *= unit
+        self.low += start
+        over = np.flatnonzero(self.low < start)
+        if len(over):
+            self.carry(over)
+        np.multiply(unit, width, out=self.range)
+        small = np.flatnonzero(self.range <= _LOW32)
+        if len(small):
+            low = self.low[small]
+            self.out[small, self.at[small]] = low >> _32
+            self.at[small] += 1
+            self.low[small] = low << _32
+            self.range[small] <<= _32
+
+    def carry(self, lanes: np.ndarray) -> None:
+        back = self.at[lanes] - 1
+        while len(lanes):
+            self.out[lanes, back] += np.uint32(1)
+            more = self.out[lanes, back] == 0
+            lanes, back = lanes[more], back[more] - 1
 
     def finish(self) -> list[np.ndarray]:
         every = np.arange(len(self.low))
-        for shift in (32, 16, 0):
-            self.out[every, self.at] = (self.low >> np.uint64(shift)).astype(np.uint16)
+        for part in (self.low >> _32, self.low & _LOW32):
+            self.out[every, self.at] = part
             self.at += 1
         return [self.out[i, :n] for i, n in enumerate(self.at)]
 
@@ -185,80 +165,55 @@ class _Decoder:
         self.words = np.zeros((lanes, max(len(p) for p in payloads) + 2), np.uint64)
         for i, p in enumerate(payloads):
             self.words[i, : len(p)] = p
-        self.code = (self.words[:, 0] << np.uint64(32)) | (self.words[:, 1] << np.uint64(16)) | self.words[:, 2]
-        self.at, self.range = np.full(lanes, 3, np.int64), np.full(lanes, 1 << 48, np.uint64)
+        self.code = (self.words[:, 0] << _32) | self.words[:, 1]
+        self.at, self.range = np.full(lanes, 2, np.int64), np.full(lanes, 2**64 - 1, np.uint64)
         self.end = self.words.shape[1] - 1
 
-    def take(self, rows, unit: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        code, span = self.code[rows] - unit * start, unit * width
-        small = span <= _LOW32
-        if small.any():
-            which = np.flatnonzero(small) if isinstance(rows, slice) else rows[small]
-            code[small] = (code[small] << np.uint64(16)) | self.words[which, np.minimum(self.at[which], self.end)]
-            self.at[which] += 1
-            span[small] <<= np.uint64(16)
-        self.code[rows], self.range[rows] = code, span
-
-
-_16 = np.uint64(16)
-
-
-def encode(blocks: np.ndarray) -> list[np.ndarray]:
-    """Payloads (16-bit words) of blocks (lanes, length) of ids."""
+    def value(self) -> np.ndarray:
+        """The unit that the code lies in, of 2 ** TOTAL."""
+        self.unit = self.range >> _TOTAL
+        return np.minimum(self.code // self.unit, np.uint64((1 << TOTAL) - 1)).astype(np.int32)
+
+    def take(self, start: np.ndarray, width: np.ndarray) -> None:
+        start *= self.unit
+        self.code -= start
+        np.multiply(self.unit, width, out=self.range)
+        small = np.flatnonzero(self.range <= _LOW32)
+        if len(small):
+            at = self.at[small]
+            self.code[small] = (self.code[small] << _32) | self.words[small, np.minimum(at, self.end)]
+            self.at[small] = at + 1
+            self.range[small] <<= _32
+
+
+def encode(blocks: np.ndarray, order0: Order0 | None = None) -> list[np.ndarray]:
+    """Payloads (32-bit words) of blocks (lanes, length) of ids."""
     lanes, length = blocks.shape
-    m, rc, every = Model(lanes), _Encoder(lanes, 3 * length + 8), slice(None)
+    m, rc = Model(lanes, order0 or Order0()), _Encoder(lanes, length + 8)
     columns = np.ascontiguousarray(blocks.T).astype(np.int64)
-    heads = head_of(columns)
-    for t in range(length):
-        ids, head = columns[t], heads[t]
+    for ids in columns:
         m.predict()
-        s = m.which(ids)
-        rc.put(every, rc.range >> _16, *m.span(s))
-        e = np.flatnonzero(s == 3)
-        if len(e):
-            h, row = head[e], m.head0[e] + m.head[e]
-            cdf = m.heads[row]
-            full = np.concatenate([np.zeros((len(e), 1), np.int32), cdf, np.full((len(e), 1), FULL, np.int32)], 1)
-            at = np.arange(len(e))
-            start, end = full[at, h], full[at, h + 1]
-            rc.put(e, rc.range[e] >> _16, start.astype(np.uint64), (end - start).astype(np.uint64))
-            base, bits = bits_of(h)
-            rc.put(e, rc.range[e] >> bits.astype(np.uint64), (ids[e] - base).astype(np.uint64), np.ones(len(e), np.uint64))
-            m.learn_head(row, cdf, h)
-        m.head = head
-        m.update(ids, s)
+        hit = m.hits(ids)
+        rc.put(*m.interval(ids, hit))
+        m.update(ids, hit)
     return rc.finish()
 
 
-def decode(payloads: list[np.ndarray], length: int) -> np.ndarray:
+def decode(payloads: list[np.ndarray], length: int, order0: Order0 | None = None) -> np.ndarray:
     """The blocks (lanes, length) of payloads."""
     lanes = len(payloads)
-    m, rc, every = Model(lanes), _Decoder(payloads), slice(None)
-    out = np.empty((length, lanes), np.int64)
+    m, rc = Model(lanes, order0 or Order0()), _Decoder(payloads)
+    out = np.empty((length, lanes), np.uint32)
     for t in range(length):
         m.predict()
-        unit = rc.range >> _16
-        s = (rc.code >= unit * m.edges[1:4].astype(np.uint64)).sum(0)
-        rc.take(every, unit, *m.span(s))
-        ids = m.ids.reshape(-1).take(np.minimum(s, 2) * lanes + m.lane)
-        head = head_of(ids)
-        e = np.flatnonzero(s == 3)
-        if len(e):
-            row = m.head0[e] + m.head[e]
-            cdf = m.heads[row]
-            unit = rc.range[e] >> _16
-            h = (rc.code[e][:, None] >= unit[:, None] * cdf.astype(np.uint64)).sum(1)
-            full = np.concatenate([np.zeros((len(e), 1), np.int32), cdf, np.full((len(e), 1), FULL, np.int32)], 1)
-            at = np.arange(len(e))
-            start, end = full[at, h], full[at, h + 1]
-            rc.take(e, unit, start.astype(np.uint64), (end - start).astype(np.uint64))
-            base, bits = bits_of(h)
-            unit = rc.range[e] >> bits.astype(np.uint64)
-            low = np.minimum(rc.code[e] // unit, (np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))
-            rc.take(e, unit, low, np.ones(len(e), np.uint64))
-            ids[e], head[e] = base + low.astype(np.int64), h
-            m.learn_head(row, cdf, h)
-        m.head = head
-        m.update(ids, s)
+        value = rc.value()
+        rest, chance = value - (m.end1 << FREQUENCY), value >> FREQUENCY
+        unit = (np.maximum(rest, 0) / (ONE - m.end1)).astype(np.int64)  # exact: both are far below 2 ** 53
+        ids = m.order0.holder.take(unit, mode="clip")
+        np.copyto(ids, m.named[1], where=chance < m.end1)
+        np.copyto(ids, m.named[0], where=chance < m.end2)
+        hit = m.hits(ids)
+        rc.take(*m.interval(ids, hit))
+        m.update(ids, hit)
         out[t] = ids
     return out.T
