@@ -122,3 +122,17 @@ def test_url_lists_with_deeper_paths(spark):
     caps = spark.createDataFrame([(k, u, day) for k, u in urls_of.items()], "page_id long, url string, day date")
     got = {r["page_id"]: r["lists"] for r in urls.evaluate(caps, entries).collect()}
     assert got == {1: "d,p", 2: "p", 3: "", 4: "d,p,u", 5: "", 6: ""}
+
+
+def test_whole_licence_texts(spark):
+    texts = {t.label: t.text for t in licenses.TEMPLATES if t.label.startswith("text:")}
+    rows = [(k, f"Copyright 2020 Someone\n\n{t}\n\ncode here " + "and more words " * 50) for k, t in enumerate(texts.values())]
+    rows += [(100, "Permission is hereby granted, free of charge, to any person"), (101, " ".join(texts.values())), (102, "This permission notice shall be included")]
+    rows += [(103, "general public license " * 400 + " ".join(texts.values()) + " cc by")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows + [(500 + k, "plain words only") for k in range(50)], "doc_id long, text string")).collect()}
+    for k, label in enumerate(texts):
+        assert label in {s["label"] for s in got[k]["spans"]} and got[k]["score"] == 1.0
+    assert {s["label"] for s in got[100]["spans"]} == {"mit"} and not got[102]["spans"]
+    assert set(texts) <= {s["label"] for s in got[101]["spans"]}
+    n, found = brute_places(rows[-1][1])
+    assert sorted((s["first"], s["label"]) for s in got[103]["spans"] if s["base"]) == sorted(found) and set(texts) <= {s["label"] for s in got[103]["spans"]}
