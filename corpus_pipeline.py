@@ -26,9 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no learned language, go: these are texts that hold too few n-grams of their best one."""
-    rows = langid.lessons(docs)
-    found = langid.identify(docs, langid.learn(rows), lang_name="_lang", score_name="_lang_score", cover_name="_cover")
-    return found.filter((F.col("_lang") != langid.UND) & (F.col("_cover") > 0) & (F.col("_cover") >= langid.least_cover(rows))).select(*_columns(docs))
+    drawn = langid.lessons(docs)
+    model = langid.learn(drawn.rows, prior=drawn.prior)
+    found = langid.identify(docs, model, lang_name="_lang", score_name="_lang_score", cover_name="_cover")
+    return found.filter((F.col("_lang") != langid.UND) & (F.col("_cover") > 0) & (F.col("_cover") >= langid.least_cover(drawn.rows))).select(*_columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

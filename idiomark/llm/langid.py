@@ -1,24 +1,28 @@
 """Language identification with one bit-sliced Bloom filter over character n-grams.
 
-Row i of the filter is a bit mask over languages. An n-gram sets its language's
-bit in `HASHES` rows; the conjunction of those rows gives every language that
+Row i of the filter is a bit mask over languages, of several words if there are
+more than 64. An n-gram sets its language's bit in `HASHES` rows; the conjunction of those rows gives every language that
 contains the n-gram, in one look-up for all languages together. Over a text the
 masks are counted per language, the share that chance alone would set is taken
 off, and the largest count decides.
 
-The filter is learned on the driver from a bounded sample of labelled rows
-(`sample` rows with at most `sample_chars` characters together, in seeded order).
-Prediction reads every whole text, long ones in overlapping segments.
+The filter is learned on the driver from a bounded sample of labelled rows, as many
+of each language as it has, up to an equal share (`sample` rows with at most
+`sample_chars` characters together, in seeded order). Prediction reads every whole
+text, long ones in overlapping segments.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; a
 text whose n-grams are all unknown gets the most frequent learned language with
 score 0; ties go to the language that sorts first; rows with a null language
-teach nothing; without any teaching row every text is `und`; repeated rows are
-predicted each; other columns pass through untouched.
+or text teach nothing, equal rows teach once, and a null id may teach; without any
+teaching row every text is `und`; repeated rows are predicted each; other columns
+pass through untouched.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,11 +78,20 @@ def slots(h: np.ndarray) -> list[np.ndarray]:
 
 
 class Filter:
-    """rows: the bit-sliced filter; langs: the language of each bit; chance: each language's share of false answers."""
+    """rows: the bit-sliced filter, one array for each word of masks; langs: the language of each bit; chance: each
+    language's share of false answers."""
 
     def __init__(self, rows: np.ndarray, langs: list[str], prior: str):
         self.rows, self.langs, self.prior = rows, langs, prior
-        self.chance = np.asarray([float(((rows >> rows.dtype.type(i)) & rows.dtype.type(1)).mean()) ** HASHES for i in range(len(langs))])
+        self.chance = np.asarray([float(self.bits(rows[w], i).mean()) ** HASHES for w, i in map(self.place, range(len(langs)))])
+
+    def place(self, lang: int) -> tuple[int, int]:
+        """(word, bit) of a language."""
+        return divmod(lang, np.iinfo(self.rows.dtype).bits)
+
+    @staticmethod
+    def bits(masks: np.ndarray, i: int) -> np.ndarray:
+        return (masks >> masks.dtype.type(i)) & masks.dtype.type(1)
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(n-grams answered for each language, n-grams, letters) of each text."""
@@ -101,14 +114,17 @@ class Filter:
             np.add.at(alpha, own, np.diff(np.concatenate([[0], np.cumsum(seen)])[starts]))
             for order in ORDERS:
                 h, at = grams(points, order)
-                mask = self.rows[slots(h)[0]]
-                for s in slots(h)[1:]:
-                    mask &= self.rows[s]
                 cuts = np.searchsorted(at, starts)
                 np.add.at(total, own, np.diff(cuts))
-                for i in range(k):
-                    bit = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(i)) & mask.dtype.type(1), dtype=np.int64)])
-                    np.add.at(hit[:, i], own, np.diff(bit[cuts]))
+                where = slots(h)
+                for w, row in enumerate(self.rows):
+                    mask = row[where[0]]
+                    for s in where[1:]:
+                        mask &= row[s]
+                    for lang in range(k):
+                        if self.place(lang)[0] == w:
+                            bit = np.concatenate([[0], np.cumsum(self.bits(mask, self.place(lang)[1]), dtype=np.int64)])
+                            np.add.at(hit[:, lang], own, np.diff(bit[cuts]))
         return hit, total, alpha
 
     def corrected(self, hit: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -137,12 +153,8 @@ class Filter:
         return out, np.clip(score, 0.0, 1.0), real.max(1) / np.maximum(total, 1)
 
 
-def table_of(kind) -> np.ndarray:
-    return np.zeros(1 << LOG_ROWS, kind)
-
-
-def learn(rows: list[tuple[str, str]], least: int = 3, share: float = 0.25) -> Filter:
-    """Filter from (text, language) rows.
+def learn(rows: list[tuple[str, str]], least: int = 3, share: float = 0.25, prior: str | None = None) -> Filter:
+    """Filter from (text, language) rows; `prior` is the most frequent language, by these rows unless it is given.
 
     An n-gram belongs to a language if it was seen there `least` times and at
     `share` of the rate of the language where it is most frequent, or more."""
@@ -151,9 +163,10 @@ def learn(rows: list[tuple[str, str]], least: int = 3, share: float = 0.25) -> F
         texts.setdefault(lang, []).append(text)
     langs = sorted(texts)
     if not langs:
-        return Filter(table_of(np.uint8), [], UND)
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(langs) <= np.iinfo(k).bits)
-    table = table_of(kind)
+        return Filter(np.zeros((1, 1 << LOG_ROWS), np.uint8), [], UND)
+    kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(langs) <= np.iinfo(k).bits), np.uint64)
+    width = np.iinfo(kind).bits
+    table = np.zeros((-(-len(langs) // width), 1 << LOG_ROWS), kind)
     for order in ORDERS:
         found, counts, owner = [], [], []
         for i, lang in enumerate(langs):
@@ -167,10 +180,10 @@ def learn(rows: list[tuple[str, str]], least: int = 3, share: float = 0.25) -> F
         top = np.zeros(len(u))
         np.maximum.at(top, inverse, rate)
         take = (own >= 0) & (rate >= share * top[inverse])
+        word, bit = np.divmod(own[take], width)
         for s in slots(h[take]):
-            np.bitwise_or.at(table, s, (np.ones(int(take.sum()), kind) << own[take].astype(kind)).astype(kind))
-    prior = max(langs, key=lambda x: (len(texts[x]), x))
-    return Filter(table, langs, prior)
+            np.bitwise_or.at(table, (word, s), (np.ones(len(bit), kind) << bit.astype(kind)).astype(kind))
+    return Filter(table, langs, prior or max(langs, key=lambda x: (len(texts[x]), x)))
 
 
 def least_cover(rows: list[tuple[str, str]]) -> float:
@@ -195,30 +208,48 @@ def taught(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 != 2, F.lit(True))
 
 
+class Lessons(NamedTuple):
+    """(text, language) rows to learn from, in seeded order, and the language that most rows have."""
+
+    rows: list[tuple[str, str]]
+    prior: str | None
+
+
 def fit(df: DataFrame, sample: int = 4000, sample_chars: int = 12_000_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filter:
     """Learns from the rows that `lessons` draws."""
-    return learn(lessons(df, sample, sample_chars, seed, id_col, text_col, lang_col))
+    drawn = lessons(df, sample, sample_chars, seed, id_col, text_col, lang_col)
+    return learn(drawn.rows, prior=drawn.prior)
 
 
-def lessons(df: DataFrame, sample: int = 4000, sample_chars: int = 12_000_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """(text, language) of `sample` labelled rows at most, the first in seeded order, up to `sample_chars` characters together.
+def lessons(df: DataFrame, sample: int = 4000, sample_chars: int = 12_000_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Lessons:
+    """`sample` labelled rows at most, with `sample_chars` characters at most; both in equal shares for each language.
 
-    Rows longer than sample_chars / 100 are not sampled; they are predicted like any other. Their ids are drawn first,
-    so that no more texts than these travel."""
+    Languages are counted first: one row of each reaches the driver, and if there are more than `sample`, the most
+    frequent ones are learned. Of each about twice its share is then listed by a hash of id and text, without its text;
+    what fits is chosen from the list, and only the chosen texts travel. Rows longer than sample_chars / 100 are not
+    sampled; they are predicted like any other."""
     spark = df.sparkSession
-    named = df.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    able = named.filter(taught("i") & F.col("t").isNotNull() & F.col("l").isNotNull() & (F.length("t") <= sample_chars // 100))
-    drawn = able.select("i", F.xxhash64(F.lit(seed), "i").alias("u")).orderBy("u", "i").limit(sample).collect()
-    if not drawn:
-        return []
-    ids = F.broadcast(spark.createDataFrame(sorted({(r["i"], r["u"]) for r in drawn if r["i"] is not None}), "i string, u long"))
-    got, chars = [], 0
-    for _, text, lang in sorted((r["u"], r["t"], r["l"]) for r in able.join(ids, "i").collect()):
-        chars += len(text)
-        if chars > sample_chars:
-            break
-        got.append((text, lang))
-    return got
+    named = df.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter(taught("i") & F.col("l").isNotNull())
+    counted = named.groupBy("l").count().orderBy(F.desc("count"), "l").limit(sample).collect()
+    if not counted:
+        return Lessons([], None)
+    share, chars = max(1, sample // len(counted)), sample_chars // len(counted)
+    part = spark.createDataFrame([(r["l"], min(1.0, 2.0 * share / r["count"])) for r in counted], "_l string, _part double")
+    u = F.xxhash64(F.lit(seed), "i", "t")
+    able = named.filter(F.col("t").isNotNull() & (F.length("t") <= sample_chars // 100)).withColumn("u", u)
+    listed = able.join(F.broadcast(part), F.col("l") == F.col("_l")).filter(F.col("u").cast("double") / 2.0**64 + 0.5 <= F.col("_part"))
+    listed = listed.select("l", "u", F.length("t").alias("n")).distinct().orderBy("u", "l").limit(4 * sample).collect()
+    taken, held, chosen = dict.fromkeys((r["l"] for r in counted), 0), dict.fromkeys((r["l"] for r in counted), 0), []
+    for r in listed:
+        if taken[r["l"]] < share and held[r["l"]] + r["n"] <= chars:
+            taken[r["l"]] += 1
+            held[r["l"]] += r["n"]
+            chosen.append((r["u"], r["l"]))
+    if not chosen:
+        return Lessons([], None)
+    ids = F.broadcast(spark.createDataFrame(chosen, "_u long, _l string"))
+    got = able.join(ids, (F.col("u") == F.col("_u")) & (F.col("l") == F.col("_l"))).groupBy("u", "l").agg(F.min("t").alias("t")).collect()
+    return Lessons([(r["t"], r["l"]) for r in sorted(got, key=lambda r: (r["u"], r["l"]))], counted[0]["l"])
 
 
 def identify(df: DataFrame, model: Filter, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score", cover_name: str | None = None) -> DataFrame:
