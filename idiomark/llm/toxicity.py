@@ -10,13 +10,16 @@ Learning uses a bounded sample of labelled rows on the driver (`per_class` rows
 of each label, texts up to `chars` characters). Labels belong to documents and
 toxic words to a few windows, so windows are labelled first: words, and their
 first and last letters, that are far more frequent in toxic documents mark the
-windows of toxic documents that the network learns as positive. It then learns
-again from the clean windows it scores highest. Last, the logit at which
+windows of toxic documents that the network learns as positive. Where no mark
+tells, the highest window of each toxic document is the positive one, chosen anew
+as the network learns. It then learns again from the clean windows it scores
+highest. Last, the logit at which
 documents of the sample part best is moved to a score of 0.3.
 
-Defined cases: null, empty and letterless texts score 0; without rows of both
+Defined cases: null, empty and letterless texts score 0; without texts of both
 labels every text scores 0; documents without a label, and null labels, teach
-nothing; repeated rows are scored each; an empty table gives no row; other
+nothing; of several texts with one id one teaches, the first by hash; repeated rows
+are scored each; an empty table gives no row; other
 columns pass through.
 """
 
@@ -167,8 +170,12 @@ def learn(texts: list[str], labels: list[int], steps: int = 500, batch: int = 96
     pos = np.flatnonzero(shows & (y[own] == 1))
     neg = np.flatnonzero(y[own] == 0)
     quiet = np.flatnonzero(~shows & (y[own] == 1))
-    if not len(pos) or not len(neg):
+    every = np.flatnonzero(y[own] == 1)
+    if not len(every) or not len(neg):
         return Scorer()
+    told_nothing = not len(pos)
+    if told_nothing:
+        pos, quiet = every, quiet[:0]
     net = Network(seed)
     adam = Adam(net.p, 0.01)
     hard = neg
@@ -177,6 +184,10 @@ def learn(texts: list[str], labels: list[int], steps: int = 500, batch: int = 96
             some = rng.choice(neg, min(len(neg), 6000), replace=False)
             logit = net.logits(net.projected(codes, buckets), content[some])
             hard = some[np.argsort(-logit, kind="stable")[: max(batch, len(some) // 10)]]
+        if told_nothing and step % 50 == 49:
+            logit = net.logits(net.projected(codes, buckets), content[every])
+            order = np.lexsort((-logit, own[every]))
+            pos = every[order][np.unique(own[every][order], return_index=True)[1]]
         third = batch // 3
         pick = np.concatenate([rng.choice(pos, third), rng.choice(neg, third // 2), rng.choice(hard, third - third // 2), rng.choice(quiet if len(quiet) else neg, batch - 2 * third)])
         target = np.concatenate([np.ones(third, np.float32), np.zeros(batch - third, np.float32)])
@@ -215,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, chars: int =
     if not drawn:
         return Scorer()
     some = F.broadcast(spark.createDataFrame(drawn, known.schema))
-    got = docs.select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").alias("_t")).filter(F.length("_t") <= chars).join(some, F.col("_d") == F.col("_i")).select("_i", "_t", "_y").collect()
+    rows = docs.select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").alias("_t")).filter(F.length("_t") <= chars).join(some, F.col("_d") == F.col("_i"))
+    got = rows.groupBy("_i", "_y").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t")).collect()  # one text of an id
     got = sorted((r["_i"], r["_t"], r["_y"]) for r in got if r["_t"])
     return learn([t for _, t, _ in got], [y for _, _, y in got])
 
