@@ -12,7 +12,8 @@ Cells are dealt to blocks of about `block` vectors; a cell with more is cut into
 several blocks, so equal or crowded vectors do not meet in one task. A block
 meets the queries that visit its cells, computes distances a slice at a time and
 hands on each query's best `k`, so pairs of query and candidate never become
-rows. Queries, too, come in parts of bounded size.
+rows. A block that more than `query_block` queries visit meets them in parts, and
+only such a block's vectors are copied, once for each part.
 
 Defined cases: vectors that are null, zero, of another length than the most
 frequent one, or that hold a null or a non-finite component take no part; ties
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from idiomark.llm.common import kept, read
 
 OUT = "query_id long, vec_id long, score double"
+#: So many rows of a list of blocks, 16 bytes each, are broadcast.
+MOST_BROADCAST = 200_000
 
 
 def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -131,7 +134,7 @@ def nearest(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, vec_ids:
     return out
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 10, centroids: int = 32, recall: float = 0.95, sample: int = 20_000, block: int = 4096, query_block: int = 8192, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, k: int = 10, centroids: int = 32, recall: float = 0.95, sample: int = 20_000, block: int = 4096, query_block: int = 32_768, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest rows of df.
 
     The codebooks are fitted, and the walks' length calibrated for `recall`, on
@@ -196,11 +199,19 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, centroids: int = 32,
         return pa.array(out, pa.list_(pa.struct([("block", pa.int64()), ("cells", pa.list_(pa.int64()))])))
 
     q = valid(queries, id_col, vector_col).filter(F.size("v") == dim)
-    # A block meets `query_block` queries or so at a time.
-    parts = max(1, -(-q.count() // query_block))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts))
-    asked = q.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), part.alias("part"), F.explode(visits("v")).alias("x")).select("query_id", "q", "part", F.col("x.block").alias("block"), F.col("x.cells").alias("cells"))
-    stored = placed.withColumn("block", block_of("cell", "vec_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+    walked = kept(q.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), visits("v").alias("x")))
+    asked = walked.select("query_id", "q", F.explode("x").alias("x")).select("query_id", "q", F.col("x.block").alias("block"), F.col("x.cells").alias("cells"))
+    stored = placed.withColumn("block", block_of("cell", "vec_id"))
+    # A block meets `query_block` queries or so at a time: only a block that more of them visit is copied.
+    visited = walked.select(F.explode("x.block").alias("block")).groupBy("block").count()
+    crowded = kept(visited.filter(F.col("count") > query_block).select("block", F.ceil(F.col("count") / query_block).cast("long").alias("parts")))
+    if n := crowded.count():
+        few = F.broadcast(crowded) if n <= MOST_BROADCAST else crowded
+        parts = F.coalesce("parts", F.lit(1).cast("long"))
+        asked = asked.join(few, "block", "left").withColumn("part", F.pmod(F.xxhash64("query_id"), parts)).drop("parts")
+        stored = stored.join(few, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    else:
+        asked, stored = (d.withColumn("part", F.lit(0).cast("long")) for d in (asked, stored))
 
     def meet(queries, vectors):
         import pandas as pd

@@ -69,3 +69,15 @@ def test_ties_copies_and_invalid_vectors(spark):
     few = spark.createDataFrame(same[:3], "vec_id long, embedding array<double>")
     assert ann.search(few, few).count() == 6
     assert ann.search(d.limit(0), d).count() == 0 and ann.search(few.limit(1), few.limit(1)).count() == 0
+
+
+def test_only_crowded_blocks_are_copied(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal((900, 8)), 40 + rng.standard_normal((900, 8))])
+    ids = np.arange(len(x))
+    d = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    whole = sorted(tuple(r) for r in ann.search(d, d.filter("vec_id % 20 = 0"), centroids=4, block=100).collect())
+    for most in (ann.MOST_BROADCAST, 0):
+        monkeypatch.setattr(ann, "MOST_BROADCAST", most)
+        parts = ann.search(d, d.filter("vec_id % 20 = 0"), centroids=4, block=100, query_block=7).collect()
+        assert sorted(tuple(r) for r in parts) == whole
