@@ -8,8 +8,10 @@ and a fractional one: its documents in seeded order until the rest of the target
 is reached. The document at which it is reached gives only its first words.
 
 Nothing is keyed by source alone: documents are dealt by (source, bucket of the
-seeded hash), so a source with a third of all rows is spread over many tasks.
-Sums go up from buckets to sources and come back as running totals.
+seeded hash), so a source with a third of all rows is spread over many tasks. A
+bucket that equal or null ids crowd is dealt further by where its rows were read.
+Sums go up from buckets to groups of buckets to sources, and come back as running
+totals the same way, so no task sees all buckets of a source.
 
 Defined cases: a null source is a source of its own, the last; a null or empty
 text has size 0 and gives nothing; a source of size 0 has target 0; repeated
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from idiomark.llm.common import globally_indexed, kept, n_words, read
 
 WEIGHTS = (5.0, 2.0, 1.0)
-BUCKET_ROWS = 512
+#: Rows of a bucket, times that when it counts as crowded, buckets of a group, sub-buckets whose list is broadcast.
+BUCKET_ROWS, CROWDED, GROUP, MOST_BROADCAST = 512, 8, 4096, 200_000
 
 
 def water_level(sources: DataFrame, total: float) -> float:
@@ -65,21 +68,35 @@ def mix(df: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, se
         F.col(source_col).cast("string").alias("source"),
         n_words(F.col(text_col).cast("string")).alias("size"),
         *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)],
-    ).withColumn("_u", F.xxhash64(F.lit(seed), "doc_id"))
+    ).withColumns({"_u": F.xxhash64(F.lit(seed), "doc_id"), "_read": F.monotonically_increasing_id()})
     rows = df.select(F.lit(1)).count()
     n = max(1, -(-rows // BUCKET_ROWS))
     # Buckets follow the seeded order: they are equal ranges of the hash.
     base = base.withColumn("_bucket", F.least(F.lit(n - 1), F.floor((F.col("_u").cast("double") / 2.0**64 + 0.5) * F.lit(n))).cast("long"))
-    sums = kept(base.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum")))
+    counted = kept(base.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"), F.count(F.lit(1)).alias("_rows")))
+    crowded = counted.filter(F.col("_rows") > CROWDED * BUCKET_ROWS).select(F.col("source").alias("_s"), F.col("_bucket").alias("_c"), F.ceil(F.col("_rows") / BUCKET_ROWS).cast("long").alias("_deal"))
+    if hot := crowded.count():
+        few = F.broadcast(crowded) if hot <= MOST_BROADCAST else crowded
+        base = base.join(few, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_c")), "left")
+        base = base.withColumn("_sub", F.coalesce(F.pmod(F.xxhash64("_read"), "_deal"), F.lit(0).cast("long"))).drop("_s", "_c", "_deal")
+        sums = kept(base.groupBy("source", "_bucket", "_sub").agg(F.sum("size").alias("_sum")))
+    else:
+        base = base.withColumn("_sub", F.lit(0).cast("long"))
+        sums = counted.select("source", "_bucket", F.lit(0).cast("long").alias("_sub"), "_sum")
     per_source = sums.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     plan = targets(per_source, weights, share, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("_rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    before = F.sum("_sum").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    at = sums.withColumn("_before", F.coalesce(before, F.lit(0))).alias("a").join(plan.alias("p"), F.col("a.source").eqNullSafe(F.col("p.source")))
-    at = at.select(F.col("a.source").alias("_source"), F.col("_bucket").alias("_b"), "_before", "source_size", "target", "whole", "_rest")
-    own = base.join(at, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
-    run = F.sum("size").over(Window.partitionBy("source", "_bucket").orderBy("_u", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    below = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_group", F.floor(F.col("_bucket") / GROUP))
+    groups = sums.groupBy(F.col("source").alias("_s"), F.col("_group").alias("_g")).agg(F.sum("_sum").alias("_all"))
+    groups = groups.withColumn("_lower", F.coalesce(F.sum("_all").over(below("_s").orderBy("_g")), F.lit(0)))
+    within = F.coalesce(F.sum("_sum").over(below("source", "_group").orderBy("_bucket", "_sub")), F.lit(0))
+    at = sums.withColumn("_within", within).join(groups, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_group") == F.col("_g")))
+    at = at.withColumn("_before", F.col("_lower") + F.col("_within")).alias("a").join(plan.alias("p"), F.col("a.source").eqNullSafe(F.col("p.source")))
+    at = at.select(F.col("a.source").alias("_source"), F.col("_bucket").alias("_b"), F.col("_sub").alias("_d"), "_before", "source_size", "target", "whole", "_rest")
+    own = base.join(at, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")) & (F.col("_sub") == F.col("_d")))
+    run = F.sum("size").over(Window.partitionBy("source", "_bucket", "_sub").orderBy("_u", "doc_id", "_read").rowsBetween(Window.unboundedPreceding, -1))
     left = F.col("_rest") - F.col("_before") - F.coalesce(run, F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), left))
     return own.withColumn("part", part).select(

@@ -70,3 +70,18 @@ def test_mixture_takes_what_it_says(spark, odd):
     for r in mixing.mix(odd).collect():
         want[r["source"]] = want.get(r["source"], 0) + r["taken"]
     assert got == {s: n for s, n in want.items() if n}
+
+
+def test_small_buckets_and_crowded_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    rows = [(i if i % 3 else None if i % 2 else 7, "w " * (i % 11), "ab"[i % 2]) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mix(d).collect()
+    assert len(got) == len(rows)
+    check(got, rows)
+    many = spark.createDataFrame([(1, "same text", "a")] * 700, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(many).collect()
+    check(got, [(1, "same text", "a")] * 700)
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert sorted(r["taken"] for r in mixing.mix(many).collect()) == sorted(r["taken"] for r in got)
