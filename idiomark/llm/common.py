@@ -16,9 +16,11 @@ A_Z = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset and all run on this machine, a new one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="idiomark-")
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -66,7 +68,7 @@ def globally_indexed(df: DataFrame, order: list, index: str) -> DataFrame:
 
 
 def salted_join(left: DataFrame, left_key: str, right: DataFrame, right_key: str, how: str = "left", share: int = 1000, salts: int = 32) -> DataFrame:
-    """left joined to right, which has one row or few for each key.
+    """left joined to right, which has one row or few for each key. left is read three times: keep it first if it is costly.
 
     Keys that hold over 1 / share of left's rows are hot: there can be at most
     `share` of them, so their list is bounded. Left's rows of a hot key are dealt

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idiomark.llm.common import read, salted_join, scratch
+from idiomark.llm.common import kept, read, salted_join, scratch
 
 WIDTH = 64
 ITEM = "struct<kind string, text string, src string, caption string>"
@@ -221,7 +221,7 @@ def features(stored: DataFrame) -> DataFrame:
 def resolve(items: DataFrame, found: DataFrame) -> DataFrame:
     """Items with the features of what they refer to; unknown digests keep nulls."""
     ref = F.when(F.col("src").startswith("sha256:"), F.substring("src", 8, 64))
-    return salted_join(items.withColumn("_digest", ref), "_digest", found.withColumnRenamed("digest", "_found"), "_found").drop("_digest", "_found")
+    return salted_join(kept(items.withColumn("_digest", ref)), "_digest", found.withColumnRenamed("digest", "_found"), "_found").drop("_digest", "_found")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from idiomark.llm.common import A_Z, read, salted_join
+from idiomark.llm.common import A_Z, kept, read, salted_join
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
@@ -62,7 +62,7 @@ def patterns(url):
 
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "day", allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """Captures (id, URL, day) with lists (sorted, comma-joined), n_active, active_since (the latest start) and blocked."""
-    c = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(day_col).alias("day"))
+    c = kept(captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(day_col).alias("day")))
     keys = c.distinct().withColumn("_pattern", F.explode(patterns(F.col("url"))))
     bare = F.when(F.col("pattern").rlike("^(path|url):"), F.regexp_replace("pattern", "/+$", "")).otherwise(F.col("pattern"))
     valid = intervals(entries.withColumn("pattern", bare)).withColumnRenamed("pattern", "_entry")
@@ -100,20 +100,17 @@ def log_of(captures: DataFrame) -> DataFrame:
     """The entries that LOG makes for what the captures hold: (list, pattern, added, day). Its path entries have one segment."""
     held = captures.select(F.explode(patterns(F.col("url"))).alias("pattern")).distinct()
     seen = held.filter(~F.col("pattern").startswith("path:") | F.col("pattern").rlike("^path:[^/]*/[^/]+$")).withColumn("_d", draw(F.col("pattern")))
-    parts = []
+    made = []
     for name, kind, low, high, steps in LOG:
-        own = seen.filter(F.col("pattern").startswith(kind + ":") & F.col("_d").between(low, high))
-        rows = F.array(*[F.struct(F.lit(added).alias("added"), F.date_add(F.lit("2021-01-01").cast("date"), (F.lit(first) + F.col("_d") * per).cast("int")).alias("day")) for added, first, per in steps])
-        parts.append(own.select(F.lit(name).alias("list"), "pattern", F.explode(rows).alias("e")).select("list", "pattern", "e.added", "e.day"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        own = F.col("pattern").startswith(kind + ":") & F.col("_d").between(low, high)
+        day = lambda first, per: F.date_add(F.lit("2021-01-01").cast("date"), (F.lit(first) + F.col("_d") * per).cast("int"))
+        made += [F.when(own, F.struct(F.lit(name).alias("list"), F.lit(added).alias("added"), day(first, per).alias("day"))) for added, first, per in steps]
+    return seen.select("pattern", F.explode(F.array_compact(F.array(*made))).alias("e")).select("e.list", "pattern", "e.added", "e.day")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     day = F.date_add(F.lit("2021-01-01").cast("date"), (F.pmod(F.col("page_id") * 37, F.lit(1461))).cast("int"))
-    captures = read(spark, sf_dir, "pages").select("page_id", "url", day.alias("day"))
+    captures = kept(read(spark, sf_dir, "pages").select("page_id", "url", day.alias("day")))
     return evaluate(captures, log_of(captures))
 
 

@@ -37,14 +37,13 @@ def test_intervals_and_as_of(spark):
     d = lambda n: DAY(2021, 1, 1) + datetime.timedelta(n)
     log = [("spam", "host:a.b.c", True, d(10)), ("spam", "host:a.b.c", True, d(12)), ("spam", "host:a.b.c", False, d(20)), ("spam", "host:a.b.c", False, d(21)), ("spam", "host:a.b.c", True, d(30)), ("allow", "domain:b.c", True, d(15)), ("allow", "domain:b.c", False, d(16)), ("x", "path:a.b.c/p", True, d(0)), ("x", None, True, d(0)), ("x", "host:q", True, None), ("y", "host:same", True, d(5)), ("y", "host:same", False, d(5))]
     entries = spark.createDataFrame(log, "list string, pattern string, added boolean, day date")
-    assert sorted(tuple(r)[2:] for r in urls.intervals(entries).filter("pattern = 'host:a.b.c'").collect()) == [(d(10), d(20)), (d(30), None)] or True
     got = {(r["since"], r["until"]) for r in urls.intervals(entries).filter("pattern = 'host:a.b.c'").collect()}
     assert got == {(d(10), d(20)), (d(30), None)}
     caps = [(1, "http://A.b.c/", d(9)), (2, "http://A.b.c/", d(10)), (3, "https://u:p@a.b.c:80/x?q", d(15)), (4, "http://a.b.c.", d(20)), (5, "http://a.b.c", d(99)), (6, "http://a.b.c/p/q#z", d(1)), (7, None, d(1)), (8, "no url", d(1)), (9, "http://a.b.c", None), (5, "http://a.b.c", d(99)), (None, "http://a.b.c", d(99)), (11, "http://same/", d(5))]
     rows = urls.evaluate(spark.createDataFrame(caps, "page_id long, url string, day date").withColumn("lists", F.lit("clash")), entries).collect()
     assert len(rows) == len(caps)
     by = {r["page_id"]: (r["lists"], r["blocked"]) for r in rows}
-    assert by == {1: ("", False), 2: ("spam", True), 3: ("allow,spam", False), 4: ("", False), 5: ("spam", True), 6: ("x", True), 7: ("", False), 8: ("", False), 9: ("", False), None: ("spam", True), 11: ("y", True)} or by[11] in {("", False)}
+    assert by == {1: ("", False), 2: ("spam", True), 3: ("allow,spam", False), 4: ("", False), 5: ("spam", True), 6: ("x", True), 7: ("", False), 8: ("", False), 9: ("", False), None: ("spam", True), 11: ("", False)}
     assert urls.evaluate(spark.createDataFrame([], "page_id long, url string, day date"), entries).count() == 0
 
 
