@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain, count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +22,36 @@ def kept(articles: DataFrame, keep: float = KEEP) -> DataFrame:
     return articles.filter(F.col("score") >= keep).orderBy(F.desc("score"), F.desc("title"), F.desc("text"))
 
 
-def named(articles: DataFrame, rounds: int = 20) -> DataFrame:
+def _numbered(names: list[str]) -> list[str]:
+    """Each name in turn, or the first of name-2, name-3, ... that no earlier one has; without regard to case."""
+    taken, out = set(), []
+    for name in names:
+        free = next(x for x in chain([name], (f"{name}-{k}" for k in count(2))) if x.lower() not in taken)
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
+def named(articles: DataFrame) -> DataFrame:
     """Adds slug, unique without regard to case: of equal names the best article keeps the bare one, the next get -2, -3.
 
-    A numbered name can meet an article that is called so itself; names are then
-    numbered again, until all differ."""
-    d = articles.withColumn("_own", slug(F.col("title"))).withColumn("slug", F.col("_own")).withColumn("_try", F.lit(0))
+    Names can only meet if they are equal without numbers at their ends. Where all names of such a family are equal, the
+    number is a place in a window; a family in which some have numbers of their own is numbered in turn, as rows without
+    their texts."""
     order = [F.desc("score"), F.desc("title"), F.desc("text")]
-    for k in range(rounds):
-        same = Window.partitionBy(F.lower("slug")).orderBy((F.col("slug") != F.col("_own")).cast("int"), *order)
-        d = d.withColumn("_n", F.row_number().over(same))
-        d = d.withColumn("slug", F.when(F.col("_n") > 1, F.concat("slug", F.lit("-"), (F.col("_n")).cast("string"))).otherwise(F.col("slug")))
-        if not d.groupBy(F.lower("slug")).count().filter("count > 1").limit(1).count():
-            return d.drop("_own", "_try", "_n")
-    raise ValueError("names do not become unique")
+    d = articles.withColumn("_own", slug(F.col("title"))).withColumn("_root", F.regexp_replace(F.lower("_own"), r"(-\d+)+\z", ""))
+    d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("_root").orderBy(*order)))
+    mixed = d.groupBy("_root").agg((F.min(F.lower("_own")) != F.max(F.lower("_own"))).alias("_mixed"))
+    d = d.join(mixed, "_root")
+    plain = d.filter(~F.col("_mixed")).withColumn("slug", F.when(F.col("_nth") > 1, F.concat("_own", F.lit("-"), F.col("_nth").cast("string"))).otherwise(F.col("_own")))
+
+    def in_turn(rows):
+        rows = rows.sort_values("_nth")
+        return rows.assign(slug=_numbered(rows["_own"].tolist()))
+
+    few = d.filter("_mixed").select("_root", "_nth", "_own").groupBy("_root").applyInPandas(in_turn, "_root string, _nth int, _own string, slug string")
+    rest = d.filter("_mixed").join(few.select("_root", "_nth", "slug"), ["_root", "_nth"])
+    return plain.select(*articles.columns, "slug").union(rest.select(*articles.columns, "slug"))
 
 
 def article_file(title, text):

@@ -52,7 +52,7 @@ def sequences(df: DataFrame, text: str, least: int, longest: int = LONGEST) -> D
 def _stretches(df: DataFrame, text: str, known: list[str], least: int) -> DataFrame:
     """Word arrays w: the longest stretches of known words, those of `least` words and more."""
     marked = F.transform(composed_words(F.col(text)), lambda x: F.when(x.isin(known), x).otherwise("|"))
-    runs = F.split(F.array_join(marked, " "), r"(?: ?\|)+ ?", -1)
+    runs = F.split(F.array_join(marked, " "), r" ?\|[ |]*", -1)
     long = F.filter(F.transform(runs, lambda r: F.split(r, " ", -1)), lambda w: F.size(w) >= least)
     return df.select(F.explode(long).alias("w"))
 

@@ -262,7 +262,7 @@ def metamorphic_invariance(spark, d):
     return evaluate.metamorphic(_docs(spark, d), "text", TRIAL, tuple(r for r in evaluate.INVARIANCES if r.name != "decomposed"))
 
 
-@query()
+@query(_relations_sql([("decomposed", sql.decomposed("t"), None, None)]))
 def metamorphic_decomposed(spark, d):
     return evaluate.metamorphic(_docs(spark, d), "text", TRIAL, tuple(r for r in evaluate.INVARIANCES if r.name == "decomposed"))
 
@@ -279,7 +279,19 @@ def relation_violations(spark, d):
     return evaluate.violating(_docs(spark, d), "text", TRIAL, more, "doc_id")
 
 
-@query()
+def _runs(t: str) -> str:
+    return f"regexp_extract_all(lower({t}), '[{tx.L}]+')"
+
+
+_PLAIN = r"(?s)^[^@:.\-]*\p{L}[^@:.\-]*$"
+
+
+@query(f"""WITH src AS (SELECT doc_id AS id, text AS t FROM documents WHERE text IS NOT NULL), {sql.window('src')},
+own AS (SELECT DISTINCT id, unnest({_runs("w")}) AS x FROM win),
+known AS (SELECT id, unnest({_runs("t")}) AS x FROM src UNION SELECT id, unnest({_runs("regexp_replace(t, '[''’]', '', 'g')")}) FROM src),
+bad AS (SELECT DISTINCT id FROM own ANTI JOIN known USING (id, x))
+SELECT count(*)::BIGINT AS texts, count(*) FILTER (length(w) > {tx.HEAD + tx.TAIL + 1})::BIGINT AS too_long, count(*) FILTER (length(w) = 0 AND regexp_matches(left(t, {tx.HEAD}), '{_PLAIN}'))::BIGINT AS empty, (SELECT count(*) FROM bad)::BIGINT AS invented
+FROM src JOIN win USING (id)""")
 def window_properties(spark, d):
     return evaluate.window_properties(_docs(spark, d), "text")
 
@@ -411,7 +423,11 @@ def density_rank(spark, d):
     return s.select("doc_id", "score", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"))).cast("long").alias("place"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE a AS (SELECT title, coalesce(nullif(regexp_replace(regexp_replace(title, '[^{tx.WORD}\-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'artikel') AS own, row_number() OVER (ORDER BY score DESC, title DESC, text DESC) AS n
+  FROM (SELECT title, text, {_density_sql('text', sc.DENSITY)} AS score FROM {sql.values(fx.ARTICLES, 'title, text')} WHERE length(text) >= 800) WHERE score >= 1),
+s AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS taken, NULL::VARCHAR AS title, NULL::VARCHAR AS slug
+  UNION ALL SELECT n, list_append(taken, lower(slug)), title, slug FROM (SELECT a.n, s.taken, a.title, CASE WHEN list_contains(s.taken, lower(own)) THEN own || '-' || list_min(list_filter(range(2, 99), lambda k: NOT list_contains(s.taken, lower(own || '-' || k)))) ELSE own END AS slug FROM s JOIN a ON a.n = s.n + 1))
+SELECT title, slug FROM s WHERE n > 0""")
 def slug_unique(spark, d):
     return corpus.named(corpus.kept(corpus.scored(spark.createDataFrame(fx.ARTICLES, "title string, text string")))).select("title", "slug")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
 from idiomark.functions import html as h
@@ -88,6 +89,14 @@ def words(t: str) -> str:
     return f"regexp_extract_all(lower(nfc_normalize({t})), '[{L}]+')"
 
 
+def decomposed(t: str) -> str:
+    """NFD of texts whose composed letters are Latin ones up to U+017F; the database has no function for it."""
+    for c in map(chr, range(0xC0, 0x180)):
+        if (d := unicodedata.normalize("NFD", c)) != c:
+            t = f"replace({t}, {lit(c)}, {lit(d)})"
+    return t
+
+
 def clean(c: str, entities: dict[str, str]) -> str:
     out = f"regexp_replace({c}, '<[^>]+>', '', 'g')"
     for name, char in entities.items():

@@ -174,3 +174,32 @@ def test_a_score_of_another_source_is_refused(spark):
         mutation.measured(rows, "stamp", F.lit("new")).collect()
     with pytest.raises(Exception, match="another scope"):
         mutation.measured(rows, "stamp", F.lit("old"), "scope", "all").collect()
+
+
+def test_names_of_a_family_never_meet(spark):
+    titles = ["a", "A", "a-2", "a", "a-2", "a-3", "b", "b", "b", "a-2-2", "?", "!", "artikel-2", "", "c-7", "C 7"]
+    rows = [(t, "x" * k, float(100 - k)) for k, t in enumerate(titles)]
+    d = spark.createDataFrame(rows, "title string, text string, score double").repartition(3)
+    got = {r["text"]: r["slug"] for r in corpus.named(d).collect()}
+    taken, want = set(), {}
+    for t, text, _ in rows:
+        base = "".join(c if c.isalnum() or c == "-" else "_" for c in t).strip("_") or "artikel"
+        options = [base] + [f"{base}-{k}" for k in range(2, 99)]
+        want[text] = min((x for x in options if x.lower() not in taken), key=options.index)
+        taken.add(want[text].lower())
+    assert got == want
+
+
+def test_shared_sequences_of_a_long_text_of_unknown_words(spark):
+    from idiomark.operators import overlap
+
+    ours = spark.createDataFrame([("zzz " * 40_000 + "one two three four" + " zzz" * 40_000,), (None,), ("two three",)], "text string")
+    theirs = spark.createDataFrame([("One two three four five",), ("",)], "text string")
+    want = {(2, "one two"), (2, "two three"), (2, "three four"), (3, "one two three"), (3, "two three four"), (4, "one two three four")}
+    assert {(r["n"], r["gram"]) for r in overlap.shared_sequences(ours, theirs).collect()} == want
+    was, overlap.MOST_SEQUENCES = overlap.MOST_SEQUENCES, 1
+    try:
+        assert {(r["n"], r["gram"]) for r in overlap.shared_sequences(theirs, ours).collect()} == want
+    finally:
+        overlap.MOST_SEQUENCES = was
+    assert overlap.shared_sequences(ours, theirs.limit(0)).count() == 0
