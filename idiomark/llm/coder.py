@@ -18,13 +18,15 @@ from __future__ import annotations
 
 import numpy as np
 
-SLOTS = 512
+SLOTS = 256
 #: Bits of a probability, of a frequency, and of both together, by which the range is divided.
 CHANCE, FREQUENCY = 12, 16
 TOTAL = CHANCE + FREQUENCY
 ONE = 1 << CHANCE
 #: Least and most chance of a named id; a full estimate, in 256ths; how fast entries and orders learn.
 LEAST, MOST, SURE, ENTRY_RATE, ORDER_RATE = 24, 3840, 2047, 4, 7
+#: Odd numbers that spread contexts over the table.
+_A, _B = np.int32(40503), np.int32(60493)
 _LOW32, _32, _TOTAL = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(TOTAL)
 
 
@@ -48,9 +50,9 @@ class Order0:
         """Equal frequencies of all ids without a table; one has distinct, ascending ids and frequencies of 65535 in all."""
         self.ids, self.f = ids, f
         if ids is None:
-            self.width, self.start, self.holder = np.ones(1 << FREQUENCY, np.int32), np.arange(1 << FREQUENCY, dtype=np.int32), np.arange(1 << FREQUENCY)
+            self.width, self.start, self.holder = np.ones(1 << FREQUENCY, np.int32), np.arange(1 << FREQUENCY, dtype=np.int32), np.arange(1 << FREQUENCY, dtype=np.int32)
             return
-        self.width, self.start, self.holder = np.zeros(1 << FREQUENCY, np.int32), np.zeros(1 << FREQUENCY, np.int32), np.zeros(1 << FREQUENCY, np.int64)
+        self.width, self.start, self.holder = np.zeros(1 << FREQUENCY, np.int32), np.zeros(1 << FREQUENCY, np.int32), np.zeros(1 << FREQUENCY, np.int32)
         self.width[ids], self.start[ids] = f, np.cumsum(f) - f
         self.holder[: int(f.sum())] = np.repeat(ids, f)
 
@@ -70,21 +72,22 @@ class Model:
     def __init__(self, lanes: int, order0: Order0):
         self.order0 = order0
         self.table = np.zeros(2 * lanes * SLOTS, np.int32)
-        self.first = np.stack([np.arange(lanes), lanes + np.arange(lanes)]) * SLOTS
+        self.first = np.arange(2 * lanes, dtype=np.int32).reshape(2, lanes) * SLOTS
         self.recent = np.full((2, lanes), (2048 - 400) << ORDER_RATE, np.int32)
-        self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.at, self.entry = np.zeros((2, lanes), np.int64), np.zeros((2, lanes), np.int32)
+        self.last, self.last2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.at, self.where, self.entry = np.zeros((2, lanes), np.int64), np.zeros((2, lanes), np.int32), np.zeros((2, lanes), np.int32)
         self.chance = np.zeros((2, lanes), np.int32)
 
     def predict(self) -> None:
         """Names an id by each order, with its chance; an id that both name is order 2's."""
-        at, one = self.at, self.last * 40503
-        np.add(one, self.last2 * 60493, out=at[0])
-        np.right_shift(one, 5, out=at[1])
-        np.right_shift(at[0], 6, out=at[0])
-        at &= SLOTS - 1
-        at += self.first
-        self.table.take(at, out=self.entry, mode="clip")
+        where, one = self.where, self.last * _A
+        np.add(one, self.last2 * _B, out=where[0])
+        where[0] >>= 6
+        np.right_shift(one, 5, out=where[1])
+        where &= SLOTS - 1
+        where += self.first
+        self.at[...] = where
+        self.table.take(self.at, out=self.entry, mode="clip")
         self.named, self.estimate = self.entry >> 11, self.entry & SURE
         SQUASH.take((self.recent >> ORDER_RATE) + self.estimate, out=self.chance, mode="clip")
         self.chance[1] *= self.named[0] != self.named[1]
@@ -190,7 +193,7 @@ def encode(blocks: np.ndarray, order0: Order0 | None = None) -> list[np.ndarray]
     """Payloads (32-bit words) of blocks (lanes, length) of ids."""
     lanes, length = blocks.shape
     m, rc = Model(lanes, order0 or Order0()), _Encoder(lanes, length + 8)
-    columns = np.ascontiguousarray(blocks.T).astype(np.int64)
+    columns = np.ascontiguousarray(blocks.T.astype(np.int32))
     for ids in columns:
         m.predict()
         hit = m.hits(ids)

@@ -77,7 +77,7 @@ def _cuttable(t) -> bool:
 _MARKS = ".,;:!?"
 _BEFORE_MARK = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + "".join(chr(c) for c in range(0xC0, 0x250) if c not in (0xD7, 0xF7)))
 _IS_MARK = np.isin(np.arange(256), np.frombuffer(_MARKS.encode(), np.uint8))
-MOST_REMEMBERED = 300_000
+MOST_REMEMBERED = 500_000
 
 
 def _core(piece: str) -> str:
