@@ -84,3 +84,9 @@ def summary(s: DataFrame, complete: DataFrame, scope: str) -> DataFrame:
         "planned",
     )
     return one.select(F.to_json(line).alias("line"))
+
+
+def verdict(s: DataFrame, complete: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """One exit status of a run: 2 if not every mutant ran, else 1 below the floor, else 0. Both sides are one row."""
+    one = passes(s, floor).select("passed").crossJoin(complete.select("complete"))
+    return one.select(F.when(~F.col("complete"), 2).when(~F.col("passed"), 1).otherwise(0).alias("exit_code"))

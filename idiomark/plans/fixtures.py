@@ -118,6 +118,9 @@ class Box:
 def last():
     return X
 '''
+#: (path, body) of files, and what is measured of each: (path, text, names).
+FILES = [("a.py", f"RULES = {'Regle ' * 60!r}\nSHORT = 'x'\nN = 5\nMORE = OTHER = {'gäng ' * 50!r}\n"), ("b.py", "X = 1\n"), ("c.md", "# Regle\nSchryb so.")]
+MEASURED = [("a.py", "Regle " * 60 + "\n" + "gäng " * 50 + "\n" + "gäng " * 50, "RULES, MORE, OTHER"), ("b.py", "X = 1\n", None), ("c.md", "# Regle\nSchryb so.", None)]
 #: (lo, hi, name) of SOURCE, as the span reader gives them.
 SPANS = [(7, 11, "first"), (15, 16, "get"), (18, 19, "put"), (22, 23, "last")]
 #: (job_id, start_pos_row) and (job_id, test_outcome)

@@ -20,7 +20,7 @@ from idiomark.operators import corpus, evaluate, hits, lookup, mutation, overlap
 from idiomark.operators.detect import detect, eligible, explain
 from idiomark.plans import fixtures as fx
 from idiomark.plans import sql
-from idiomark.sources.readers import cases, function_spans, parsed_events, table, words_in
+from idiomark.sources.readers import cases, embedded, function_spans, parsed_events, table, words_in
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,6 +107,12 @@ def word_list(spark, d):
     return words_in(spark.createDataFrame(fx.WORD_LINES, "value string"))
 
 
+@query(f"SELECT path, length(text)::BIGINT AS chars, md5(text) AS hash, names FROM {sql.values(fx.MEASURED, 'path, text, names')}")
+def embedded_text(spark, d):
+    e = embedded(spark.createDataFrame(fx.FILES, "path string, body string"))
+    return e.select("path", F.length("text").cast("long").alias("chars"), F.md5("text").alias("hash"), "names")
+
+
 # Lexicon and verdicts.
 
 
@@ -584,6 +590,13 @@ def mutation_summary(spark, d):
     return mutation.summary(mutation.scores(_mutants(spark)), complete, "core")
 
 
+@query(f"WITH {_OUT} SELECT CASE WHEN (SELECT count(*) FROM rs) <> (SELECT count(*) FROM wi) THEN 2 WHEN 100.0 * count(*) FILTER (outcome = 'KILLED') / count(*) < {mutation.FLOOR} THEN 1 ELSE 0 END AS exit_code FROM o")
+def mutation_exit(spark, d):
+    items = spark.createDataFrame([(j,) for j, _ in fx.SPECS], "job_id string")
+    complete = mutation.completeness(items, spark.createDataFrame(fx.RESULTS, "job_id string, test_outcome string"))
+    return mutation.verdict(mutation.scores(_mutants(spark)), complete)
+
+
 @query(f"WITH {_OUT} SELECT count(*)::BIGINT AS total, sha256({sql.lit(fx.SOURCE)}) AS stamp FROM o")
 def mutation_stamped(spark, d):
     m = _mutants(spark).withColumns({"stamp": F.sha2(F.lit(fx.SOURCE), 256), "scope": F.lit("core")})

@@ -77,6 +77,17 @@ def expanded(path: str) -> Path | None:
     return p if p.is_absolute() else None
 
 
+#: Engine options: the user's own rulebook, which replaces the default, and their own overlay, which is added to any.
+RULEBOOK_OPTION, OVERLAY_OPTION = "spark.idiomark.rulebook", "spark.idiomark.overlay"
+
+
+def configured(spark: SparkSession, candidates: Iterable[str]) -> tuple[str | None, bool, str | None]:
+    """(path of the rulebook, whether an option names it, path of the user's overlay), by the session's options."""
+    own = spark.conf.get(OVERLAY_OPTION, None)
+    at = expanded(own) if own else None
+    return *resolve(candidates, spark.conf.get(RULEBOOK_OPTION, None)), (str(at) if at else None)
+
+
 def resolve(candidates: Iterable[str], override: str | None = None) -> tuple[str | None, bool]:
     """(path of the rulebook, whether an override names it): the override if it is set, else the first that exists."""
     if override:
@@ -106,12 +117,16 @@ def _real(paths):
     return pa.array([one(p) for p in paths.to_pylist()], pa.string())
 
 
-def overlays(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """(path, body) of overlay files projects/*/memory/<name>, in order of path; a file under two names once, blank ones not."""
-    d = spark.read.format("binaryFile").option("pathGlobFilter", name).load(os.path.join(root, "projects", "*", "memory"))
-    d = d.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
-    first = d.groupBy(_real("path").alias("_real")).agg(F.min_by("body", "path").alias("body"), F.min("path").alias("path"))
-    return first.filter(F.regexp_replace("body", f"[{WS}]+", "") != "").select("path", "body").orderBy("path")
+def overlays(spark: SparkSession, root: str, name: str, own: str | None = None) -> DataFrame:
+    """(path, body) of the user's own overlay first, then of files projects/*/memory/<name> in order of path.
+
+    A file under two names counts once, by the first of them; blank ones do not count."""
+    d = spark.read.format("binaryFile").option("pathGlobFilter", name).load(os.path.join(root, "projects", "*", "memory")).withColumn("_rank", F.lit(1))
+    if own:
+        d = d.union(spark.read.format("binaryFile").load(own).withColumn("_rank", F.lit(0)))
+    d = d.select("path", "_rank", F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
+    first = d.groupBy(_real("path").alias("_real")).agg(F.min(F.struct("_rank", "path", "body")).alias("f")).select("f.*")
+    return first.filter(F.regexp_replace("body", f"[{WS}]+", "") != "").orderBy("_rank", "path").select("path", "body")
 
 
 def words_in(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -155,6 +170,19 @@ def embedded_text(path: str, source: str, least: int = LEAST_EMBEDDED) -> tuple[
     return ("\n".join(long.values()), ", ".join(long)) if long else (source, None)
 
 
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("names", T.StringType())]))
+def _embedded(paths, sources):
+    import pyarrow as pa
+
+    rows = [embedded_text(p, s) for p, s in zip(paths.to_pylist(), sources.to_pylist(), strict=True)]
+    return pa.array([{"text": t, "names": n} for t, n in rows], pa.struct([("text", pa.string()), ("names", pa.string())]))
+
+
+def embedded(files: DataFrame) -> DataFrame:
+    """(path, text, names) of files (path, body): what is to be measured of each."""
+    return files.select("path", _embedded("path", "body").alias("e")).select("path", "e.text", "e.names")
+
+
 @F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("status", T.StringType())]))
 def _pdf(contents, tools):
     import shutil

@@ -8,7 +8,7 @@ expiry, a session that nothing was written to for that long starts afresh.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,3 +63,17 @@ def deliver(fired: DataFrame, refresh: int = REFRESH, valid: bool = True, overri
     kept = keyed.transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if expire else "None")
     alone = without_session(fired, valid).withColumn("payload_kind", payload(F.col("emitted"), overridden))
     return kept.union(alone.select(*kept.columns))
+
+
+def isolated(write: Callable[[DataFrame, int], None], lost: Callable[[int, str], None]) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch that a failing write does not stop: `lost` is told the batch and the error, the stream goes on.
+
+    State is kept by the stateful operator, so what was not written does not age a session again."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        try:
+            write(batch, number)
+        except Exception as e:  # noqa: BLE001  whatever the sink raises is that batch's loss alone
+            lost(number, f"{type(e).__name__}: {e}")
+
+    return sink

@@ -81,3 +81,35 @@ def test_a_resumed_session_goes_on_as_one_that_never_stopped(spark):
     kept = session.stored(first)
     two = {r["turn"]: (r["emitted"], r["served_before"]) for part in (session.deliver(first), session.deliver(then, states=kept)) for r in part.collect()}
     assert two == whole
+
+
+def test_a_failing_sink_loses_its_batch_only(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for k in range(3):
+        spark.createDataFrame([(f"s{k}", 1, True, True)], TURN).coalesce(1).write.mode("append").parquet(src)
+    kept, lost = [], []
+
+    def write(batch, number):
+        rows = batch.collect()
+        if number == 1:
+            raise OSError("read-only")
+        kept.extend(rows)
+
+    rows = spark.readStream.schema(TURN).option("maxFilesPerTrigger", 1).parquet(src)
+    q = rows.writeStream.foreachBatch(stream.isolated(write, lambda n, e: lost.append((n, e)))).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        assert q.awaitTermination(120)
+    finally:
+        q.stop()
+    assert len(kept) == 2 and lost == [(1, "OSError: read-only")]
+
+
+def test_payload_texts(spark):
+    from idiomark.operators import payload
+
+    d = session.deliver(spark.createDataFrame([("s", 1, True, True), ("s", 2, True, True)], TURN))
+    texts = lambda *a, **k: [r["context"] for r in payload.composed(d, *a, **k).orderBy("turn").collect()]
+    full, short = texts(("/r.md", "Regle", True), ["Extra", " "], "LIST", tool="look")
+    assert "Regle\nExtra\n" in full and "LIST" not in full and "LIST" in short and "loaded earlier" in short and "look <word>" in short
+    assert all("LIST" in t for t in texts(("/r.md", "", False), [], "LIST", overridden=True)), "no pointer to a rulebook that cannot be read"
+    assert "/r.md" in texts(("/r.md", "Regle", True), [], "LIST", overridden=True)[1] and all("LIST" in t for t in texts(None, ["Extra"], "LIST"))

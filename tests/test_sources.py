@@ -69,6 +69,16 @@ def test_rulebooks(spark, tmp_path):
     (tmp_path / "projects" / "c" / "memory").mkdir(parents=True)
     (tmp_path / "projects" / "c" / "memory" / "x.md").symlink_to(tmp_path / "projects" / "b" / "memory" / "x.md")
     assert [r["body"] for r in readers.overlays(spark, str(tmp_path), "x.md").collect()] == ["a", "b"]
+    own = str(tmp_path / "projects" / "c" / "memory" / "x.md")
+    assert [r["body"] for r in readers.overlays(spark, str(tmp_path), "x.md", own).collect()] == ["b", "a"]
+    assert readers.configured(spark, [str(tmp_path / "a.md")]) == (str(tmp_path / "a.md"), False, None)
+    try:
+        spark.conf.set(readers.RULEBOOK_OPTION, "/mine.md")
+        spark.conf.set(readers.OVERLAY_OPTION, own)
+        assert readers.configured(spark, [str(tmp_path / "a.md")]) == ("/mine.md", True, own)
+    finally:
+        spark.conf.unset(readers.RULEBOOK_OPTION)
+        spark.conf.unset(readers.OVERLAY_OPTION)
 
 
 def test_spans_and_embedded_text():
