@@ -19,6 +19,8 @@ GLUE = r"0-9_/+"
 WORD = r"\p{L}\p{N}_"
 WS = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
 NL = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+#: White space that is neither a single space between visible characters nor a line feed without spaces around it.
+IRREGULAR = rf"[{WS}&&[^ \n]]|  | \n|\n |\A |[ \n]\z"
 ADDRESS = r"://|@|-.*\p{Nd}|[\p{L}\p{N}]\.[\p{L}\p{N}]"
 
 
@@ -55,12 +57,13 @@ def ends(c: Column, head: int, tail: int) -> Column:
 
 def unescape(c: Column) -> Column:
     r"""Literal \n, \r and \t, a backslash and a letter, become a space."""
-    return F.regexp_replace(c, r"\\[nrt]", " ")
+    return F.when(F.contains(c, F.lit("\\")), F.regexp_replace(c, r"\\[nrt]", " ")).otherwise(c)
 
 
 def elide(c: Column) -> Column:
     """Apostrophes between two word characters go."""
-    return F.regexp_replace(c, f"(?<=[{WORD}])['’](?=[{WORD}])", "")
+    some = F.contains(c, F.lit("'")) | F.contains(c, F.lit("’"))
+    return F.when(some, F.regexp_replace(c, f"(?<=[{WORD}])['’](?=[{WORD}])", "")).otherwise(c)
 
 
 def cut(c: Column) -> Column:
@@ -79,7 +82,8 @@ def is_address(chunk: Column) -> Column:
 def strip_addresses(c: Column) -> Column:
     """Blanks every address; runs of white space become one space, line ends one line feed.
 
-    Texts where no line can hold an address take a path without a loop over chunks."""
+    Texts where no line can hold an address take a path without a loop over chunks, and those whose white space is regular
+    already are left as they are."""
     lines = F.split(F.regexp_replace(c, rf"(?:{NL})\z", ""), NL, -1)
 
     def per_line(line):
@@ -89,7 +93,7 @@ def strip_addresses(c: Column) -> Column:
     slow = F.array_join(F.transform(lines, per_line), "\n")
     one = F.regexp_replace(F.regexp_replace(c, rf"(?:{NL})\z", ""), NL, "\n")
     fast = F.regexp_replace(F.regexp_replace(F.regexp_replace(one, rf"[{WS}&&[^\n]]+", " "), " ?\n ?", "\n"), r"\A +| +\z", "")
-    return F.when(c.rlike(ADDRESS), slow).otherwise(fast)
+    return F.when(c.rlike(ADDRESS), slow).when(c.rlike(IRREGULAR), fast).otherwise(c)
 
 
 def bounded(df: DataFrame, text: Column, out: str) -> DataFrame:
