@@ -34,6 +34,8 @@ from idiomark.llm.common import A_Z, read
 #: A word: ASCII letters and digits, and everything beyond ASCII.
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RARE, LOOKED_UP = 12, 8
+#: Kelvin sign, capital I with a dot: beyond ASCII, but their lower case is not.
+OTHER_CAPITALS = "\u212a\u0130"
 
 
 class Template(NamedTuple):
@@ -127,7 +129,13 @@ TEMPLATES = (
 
 
 def words_of(text):
-    return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), *A_Z), F.lit(LICENSE_WORD), F.lit(0))
+    """Words in lower case; only what A to Z become matters, as licence words are ASCII.
+
+    The two other letters whose lower case begins in ASCII are set aside first."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    for c in OTHER_CAPITALS:
+        t = F.replace(t, F.lit(c), F.lit("\u00e5"))
+    return F.regexp_extract_all(F.lower(t), F.lit(LICENSE_WORD), F.lit(0))
 
 
 def frequencies(df: DataFrame, templates: Sequence[Template], text_col: str = "text") -> tuple[int, dict[str, int]]:

@@ -55,7 +55,7 @@ def brute_places(text):
 
 
 def test_licences_against_brute_force(spark, odd):
-    extra = ["CC BY cc by", "ALL RIGHTS RESERVED all rights reserved. General public license", "the mit License", "general public", "by cc", "Kall rights reserved", "cc-by 4.0", "Licensed under the Apache License, Version 2.0.", "all rights all rights reserved"]
+    extra = ["CC BY cc by", "ALL RIGHTS RESERVED all rights reserved. General public license", "the mit License", "general public", "by cc", "Kall rights reserved", "cc-by 4.0", "Licensed under the Apache License, Version 2.0.", "all rights all rights reserved", "L\u0130CENSE \u212aopy general publ\u0130c license", "ALL R\u0130GHTS RESERVED \u00c9 all rights reserved", "\u212a by cc by"]
     base = [(r["doc_id"], r["text"]) for r in odd.collect()] + [(100 + k, t) for k, t in enumerate(extra)]
     df = spark.createDataFrame(base, "doc_id long, text string").withColumn("labels", F.lit("x"))
     for r, (i, text) in zip(sorted(licenses.scan(df).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"])), sorted(base, key=lambda b: (b[0] is None, b[0] or 0)), strict=True):
