@@ -81,7 +81,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     return c.join(f, same, "left").select(*names, F.coalesce("lists", F.lit("")).alias("lists"), F.coalesce("n_active", F.lit(0)).alias("n_active"), "active_since", F.coalesce("blocked", F.lit(False)).alias("blocked"))
 
 
-# Fixed values of the query's list: parts of the log that are made for each host, section and domain of the captures, as
+# Fixed values of the query's list: parts of the log that are made for each host, section, domain and URL of the captures, as
 # (list, kind of pattern, least and largest draw, [(added, first day, days per draw)]). Days count from 2021-01-01; the
 # draw is md5 of the pattern, modulo 100.
 LOG = (
@@ -89,6 +89,7 @@ LOG = (
     ("adult", "path", 40, 54, ((True, 100, 9), (True, 200, 9))),
     ("geo", "domain", 55, 69, ((True, 400, 1), (False, 500, 1))),
     ("allow", "host", 30, 49, ((True, 500, 5), (False, 1000, 5))),
+    ("scam", "url", 70, 84, ((True, 50, 8), (False, 900, 3))),
 )
 
 
@@ -97,9 +98,8 @@ def draw(pattern):
 
 
 def log_of(captures: DataFrame) -> DataFrame:
-    """The entries that LOG makes for what the captures hold: (list, pattern, added, day). Its path entries have one segment."""
-    held = captures.select(F.explode(patterns(F.col("url"))).alias("pattern")).distinct()
-    seen = held.filter(~F.col("pattern").startswith("path:") | F.col("pattern").rlike("^path:[^/]*/[^/]+$")).withColumn("_d", draw(F.col("pattern")))
+    """The entries that LOG makes for what the captures hold: (list, pattern, added, day)."""
+    seen = captures.select(F.explode(patterns(F.col("url"))).alias("pattern")).distinct().withColumn("_d", draw(F.col("pattern")))
     made = []
     for name, kind, low, high, steps in LOG:
         own = F.col("pattern").startswith(kind + ":") & F.col("_d").between(low, high)
@@ -124,7 +124,7 @@ WITH c AS (SELECT page_id, url, (DATE '2021-01-01' + ((page_id * 37) % 1461)::IN
 k AS (
   SELECT page_id, url, day, 'host:' || host AS pattern FROM c WHERE host <> ''
   UNION SELECT page_id, url, day, 'url:' || host || path FROM c WHERE host <> ''
-  UNION SELECT page_id, url, day, 'path:' || host || regexp_extract(path, '^(/[^/]+)', 1) FROM c WHERE host <> '' AND regexp_extract(path, '^(/[^/]+)', 1) <> ''
+  UNION SELECT page_id, url, day, 'path:' || host || array_to_string(s[1:i], '/') FROM (SELECT *, string_split(path, '/') AS s, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM c WHERE host <> '') WHERE s[i] <> ''
   UNION SELECT page_id, url, day, 'domain:' || array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')
     FROM (SELECT *, unnest(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)) AS i FROM c WHERE host <> '')),
 seen AS (SELECT DISTINCT pattern, ('0x' || substr(md5(pattern), 1, 6))::BIGINT % 100 AS d FROM k),
