@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +97,27 @@ def blocks(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def trim() -> None:
+    """Gives memory that this process no longer uses back to the machine.
+
+    Workers live on between tasks, and an executor has room for what they use, not for the most they ever used."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(batches):
+    """The batches, with a trim after each."""
+    for batch in batches:
+        yield batch
+        del batch
+        trim()
+
+
 def byte_view(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string or binary array without nulls."""
     import pyarrow as pa
@@ -142,6 +164,8 @@ def n_words(column):
     def count(texts):
         import pyarrow as pa
 
-        return pa.array(word_counts(texts.cast(pa.string())), pa.int64())
+        out = pa.array(word_counts(texts.cast(pa.string())), pa.int64())
+        trim()
+        return out
 
     return count(column)

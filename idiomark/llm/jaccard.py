@@ -29,7 +29,7 @@ Hashes of 64 bits stand for shingles and items: two of n differ in text but not
 in hash with a chance below n * n / 2**65.
 
 Defined cases: a null or blank text has no shingle and is a component of its
-own; a text of fewer words than five has its whole sequence as the one shingle;
+own; null ids take part, and a component that has no other id has none; a text of fewer words than five has its whole sequence as the one shingle;
 repeated rows and ids are kept, a component is the smallest id in it; an empty
 table gives no row; other columns are not read.
 """
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from idiomark.llm.common import _BLANK, blocks, byte_view, kept, read, salted_join
+from idiomark.llm.common import _BLANK, blocks, byte_view, kept, read, salted_join, trimmed
 
 WORDS = 5
 #: Similarity as a fraction, 3 / 4.
@@ -185,7 +185,7 @@ def summaries(docs: DataFrame) -> DataFrame:
         from idiomark.llm.tokens import text_blocks
 
         hot_type = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))
-        for whole in batches:
+        for whole in trimmed(batches):
             for batch in text_blocks(whole, "text"):
                 sets = shingle_sets(batch["text"])
                 items = [item_of(s) for s in sets]
@@ -272,7 +272,7 @@ def postings(docs: DataFrame, order, limit: int, buckets: int) -> DataFrame:
         from idiomark.llm.tokens import text_blocks
 
         from_light = -(-NUM * (limit + 1) // DEN)  # light sets that a heavy one can link with stand in lists, too
-        for whole in batches:
+        for whole in trimmed(batches):
             for batch in text_blocks(whole, "text"):
                 seen, rows = set(), []
                 for s in shingle_sets(batch["text"]):
@@ -386,7 +386,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         from idiomark.llm.tokens import text_blocks
 
-        for whole in batches:
+        for whole in trimmed(batches):
             for batch in text_blocks(whole, "text"):
                 sets = shingle_sets(batch["text"])
                 yield pa.RecordBatch.from_arrays([pa.array([item_of(s) for s in sets], pa.int64()), batch["item"], pa.array([s.tobytes() for s in sets], pa.binary())], names=["item", "wanted", "s"])

@@ -27,6 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from idiomark.llm.common import blocks, trim
+
 UND = "und"
 ORDERS = (3, 4)
 HASHES = 2
@@ -97,8 +99,6 @@ class Filter:
         """(n-grams answered for each language, n-grams, letters) of each text."""
         n, k = len(texts), len(self.langs)
         hit, total, alpha = np.zeros((n, k), np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        from idiomark.llm.common import blocks
-
         pieces, owner = [], []
         step = SEGMENT - max(ORDERS)
         for i, t in enumerate(texts):
@@ -266,6 +266,7 @@ def identify(df: DataFrame, model: Filter, text_col: str = "text", lang_name: st
             lang += x
             score.append(y)
             cover.append(z)
+        trim()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), *(pa.array(np.concatenate(v) if v else np.zeros(0), pa.float64()) for v in (score, cover))], ["l", "s", "c"])
 
     names = [F.col(f"`{c}`") for c in df.columns if c not in (lang_name, score_name, cover_name)]

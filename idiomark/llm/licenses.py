@@ -15,7 +15,7 @@ The score is the highest IDF-weighted share of a template's indexed words that s
 aligned where its key phrases do: 1 for a whole template, 0 without any.
 
 Defined cases: a null or empty text has no words, null positions, empty labels
-and score 0; ties of IDF go to the word that sorts first; repeated rows are scanned
+and score 0; null ids are kept; ties of IDF go to the word that sorts first; repeated rows are scanned
 each; an empty table gives no row; other columns are not read.
 """
 

@@ -10,7 +10,7 @@ computed from them is reduced to one row per digest and joined to the references
 A digest that a third of all rows refer to is one row on that side of the join,
 and the references to it are spread by a salt.
 
-Defined cases: a null or empty text is 64 zero samples; null HTML gives no item;
+Defined cases: a null or empty text is 64 zero samples; null ids are kept; null HTML gives no item;
 an unknown digest leaves its item with null features; a caption without media is
 text; unclosed tags end with the page; repeated rows are kept; an empty table
 gives no row; other columns are not read.
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idiomark.llm.common import kept, read, salted_join, scratch
+from idiomark.llm.common import kept, read, salted_join, scratch, trimmed
 
 WIDTH = 64
 ITEM = "struct<kind string, text string, src string, caption string>"
@@ -179,7 +179,7 @@ def write_store(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
         from idiomark.llm.tokens import text_blocks
 
-        for whole in batches:
+        for whole in trimmed(batches):
             for batch in text_blocks(whole, "text"):
                 seen, out = set(), []
                 for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -204,7 +204,7 @@ def features(stored: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in trimmed(batches):
             out = []
             for d, m in zip(batch["digest"].to_pylist(), batch["media"], strict=True):
                 m = m.as_py()

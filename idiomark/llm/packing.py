@@ -7,8 +7,8 @@ position crosses a multiple of the window; no id is shuffled. A document over a
 boundary leaves one piece per window, so only the last window of all is short.
 
 Order of the concatenation: partition, then row. Defined cases: a null or empty
-text is its end id alone; repeated rows are packed once each; an empty table
-gives no piece; other columns are not read.
+text is its end id alone; null ids are kept; repeated rows are packed once each; an
+empty table gives no piece; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idiomark.llm.common import kept
+from idiomark.llm.common import kept, trimmed
 from idiomark.llm.tokens import encode, public_path, text_blocks
 
 ENCODED = "doc_id long, part int, local_start long, n_tokens long, ids binary"
@@ -35,8 +35,8 @@ def encoded(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
 
         part, at = TaskContext.get().partitionId(), 0
         kind = "<u2" if max(tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        for whole in batches:
-            for batch in text_blocks(whole, "text", 1 << 24):
+        for whole in trimmed(batches):
+            for batch in text_blocks(whole, "text"):
                 ids, offsets = encode(path, batch["text"], end_id)
                 raw = pa.py_buffer(ids.astype(kind).tobytes())
                 width = np.dtype(kind).itemsize
@@ -68,7 +68,7 @@ def pack(df: DataFrame, path: str | None = None, end_id: int = 1, window: int =
     def cut(batches):
         import pyarrow as pa
 
-        for whole in batches:
+        for whole in trimmed(batches):
             starts = whole["local_start"].to_numpy() + np.asarray([offset.value[p] for p in whole["part"].to_pylist()], np.int64)
             tokens = whole["n_tokens"].to_numpy()
             first, last = starts // window, (starts + tokens - 1) // window

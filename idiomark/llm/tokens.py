@@ -47,9 +47,11 @@ def _encode(t, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     feed = _ids(t, "\n")
     if len(feed) != 1:
         return _encode_each(t, pieces)
-    step = 256
+    step, parts = 256, []
     texts = ["\n".join(pieces[i : i + step]) for i in range(0, len(pieces), step)]
-    ids = np.concatenate([np.asarray(e.ids + feed, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+    for a in range(0, len(texts), 64):  # the library's results are far larger than the ids
+        parts += [np.asarray(e.ids + feed, np.uint32) for e in t.encode_batch_fast(texts[a : a + 64], add_special_tokens=False)]
+    ids = np.concatenate(parts)
     ends = np.flatnonzero(ids == feed[0])
     if len(ends) != len(pieces):
         return _encode_each(t, pieces)
@@ -77,7 +79,7 @@ def _cuttable(t) -> bool:
 _MARKS = ".,;:!?"
 _BEFORE_MARK = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + "".join(chr(c) for c in range(0xC0, 0x250) if c not in (0xD7, 0xF7)))
 _IS_MARK = np.isin(np.arange(256), np.frombuffer(_MARKS.encode(), np.uint8))
-MOST_REMEMBERED = 500_000
+MOST_REMEMBERED = 300_000
 
 
 def _core(piece: str) -> str:
@@ -134,11 +136,13 @@ _memories: dict[str, _Memory] = {}
 
 def _gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenation of ids[start : start + length]."""
-    total = int(lengths.sum())
+    ends = np.cumsum(lengths, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
     if not total:
         return np.zeros(0, ids.dtype)
     kind = np.int32 if total + len(ids) < 1 << 31 else np.int64
-    at = np.repeat((starts - (np.cumsum(lengths) - lengths)).astype(kind), lengths)
+    ends -= lengths
+    at = np.repeat((starts - ends).astype(kind), lengths)
     at += np.arange(total, dtype=kind)
     return ids.take(at)
 
@@ -185,10 +189,13 @@ def _coded(path: str, t, texts, end: list[int]) -> tuple[np.ndarray, np.ndarray]
     if len(flat) and int(flat.max()) < 1 << 16:
         flat = flat.astype(np.uint16)
     index[bounds[:-1]] = len(words) + first
+    del pieces, words, bare, runs, ids
     index = np.insert(index, bounds[1:], n)
+    size = size.astype(np.int32)
     lengths = size[index]
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    return _gather(flat, (np.cumsum(size) - size)[index], lengths), ends[bounds + np.arange(len(bounds))]
+    offsets = np.concatenate([[0], np.add.reduceat(lengths, bounds[:-1] + np.arange(len(bounds) - 1), dtype=np.int64).cumsum()])
+    starts = (np.cumsum(size, dtype=np.int64) - size)[index]
+    return _gather(flat, starts, lengths), offsets
 
 
 def encode(path: str, texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idiomark.llm.common import blocks, read
+from idiomark.llm.common import blocks, read, trim
 from idiomark.llm.gru import CHARS, WORDS, Adam, Network
 from idiomark.llm.langid import taught
 
@@ -243,6 +243,7 @@ def scored(df: DataFrame, model: Scorer, text_col: str = "text", name: str = "sc
         from idiomark.llm.tokens import text_blocks
 
         parts = [shared.value.scores(b["t"]) for b in text_blocks(pa.RecordBatch.from_arrays([texts], names=["t"]), "t", 1 << 22)]
+        trim()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], score(F.col(text_col).cast("string")).alias(name))

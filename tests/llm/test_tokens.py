@@ -22,7 +22,7 @@ def crc(ids):
 
 def test_encode_is_exact():
     rng = random.Random(1)
-    parts = ["a", "the", "\n", " ", "  ", "\t", "é", "über", "123", "'s", "!!", " ", "😀", "\n\n", " x", "<|endoftext|>", "\r\n", "ß,", ".", "　", "​", "\x1f", "\x00"]
+    parts = ["a", "the", "\n", " ", "  ", "\t", "é", "über", "123", "'s", "!!", " ", "😀", "\n\n", " x", "<|endoftext|>", "\r\n", "ß,", ".", "　", "​", "\x1f", "\x00", "end.", "é,", "x1;", "(a).", "\u212a.", "\u03a9!?", "it's.", "3.5.", "...", "\u01ff:", "\u0250,", "a\u0301."]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)] + [None, "", " ", "\n", "a\nb\nc d", "a \nb", "x" * 5000]
     path = tokens.public_path()
     for a in range(0, len(texts), 700):
