@@ -53,6 +53,8 @@ NUM, DEN = 3, 4
 #: Sets that may be enumerated, pairs of a list that are all made, postings of a bucket.
 LARGEST_LIGHT, SHORT_LIST, BUCKET = 24, 12, 1_000_000
 HOT_PER_BATCH, HOT_KEPT, HOT_LEAST = 20_000, 50_000, 3
+#: Rows of a block of a long list: at least these, and so many by the root of its length.
+LIST_BLOCK, SPREAD = 600, 12
 #: Rounds of nearest pairs before the rest is paired in full.
 ROUNDS = 1
 #: So many edges, 16 bytes each, are labelled within one task.
@@ -501,17 +503,18 @@ class Parities:
         return np.bitwise_count(rows[place[y]] ^ rows[place[x]]).sum(1, dtype=np.int64)
 
 
-def across(long: DataFrame, comps: DataFrame, reps: DataFrame, nearest: bool, block: int = 2000) -> DataFrame:
+def across(long: DataFrame, comps: DataFrame, reps: DataFrame, nearest: bool) -> DataFrame:
     """Pairs (a, b) of items that share a long list, lie in different components, and can link by size and parity.
 
     With `nearest`, each item of a block gives one pair, with the least difference by
     parity; else all pairs are given. Sizes and parities are compared within a block's
-    task, so that what they rule out never becomes rows."""
+    task, so that what they rule out never becomes rows. Blocks grow with the root of a list, and so do the copies of
+    its rows."""
     d = long.join(comps, F.col("item") == F.col("v"), "left").select("h", "item", "n", F.coalesce("comp", "item").alias("comp"))
     # Lists in one component are done; of lists with the same items, one is enough.
     lists = d.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("item").alias("size"), F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "item")).alias("y"))
     lists = lists.filter("lo != hi").groupBy("size", "x", "y").agg(F.min("h").alias("g"))
-    d = lists.select(F.col("g").alias("h"), F.ceil(F.col("size") / block).cast("int").alias("k")).join(d, "h")
+    d = lists.select(F.col("g").alias("h"), F.ceil(F.col("size") / F.greatest(F.lit(LIST_BLOCK), F.ceil(SPREAD * F.sqrt("size")))).cast("int").alias("k")).join(d, "h")
     c = F.pmod(F.xxhash64(F.lit(2), "item"), "k").cast("int")
     both = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j")))
     d = d.withColumn("c", c).join(reps.select("item", "parity"), "item").withColumn("cell", F.explode(both))

@@ -97,6 +97,23 @@ def test_lists_dealt_to_several_buckets(spark, monkeypatch):
     assert joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)) == brute(rows)
 
 
+@pytest.mark.parametrize(("bucket", "block"), [(100, 600), (100, 7), (1_000_000, 5)])
+def test_small_buckets_and_blocks(spark, monkeypatch, bucket, block):
+    rng = random.Random(8)
+    groups = [[f"g{g}w{k}" for k in range(80)] for g in range(3)]
+    rows = []
+    for k in range(120):
+        words = list(groups[k % 3])
+        words[rng.randrange(80)] = f"u{k}"
+        if k % 5 == 0:
+            words[rng.randrange(80)] = f"y{k}"
+        rows.append((k, " ".join(words)))
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", block)
+    monkeypatch.setattr(jaccard, "SPREAD", 0)
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
+
+
 def test_rows_without_an_id_link(spark):
     words = [f"n{k}" for k in range(60)]
     rows = [(5, " ".join(words[:50])), (None, " ".join(words[5:55])), (3, " ".join(words[10:60])), (None, "alone")]
