@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idiomark.llm import coder
-from idiomark.llm.common import partitions, read, scratch, trimmed
+from idiomark.llm.common import partitions, read, scratch
 from idiomark.llm.tokens import encode, public_path, text_blocks
 
 BLOCK, SHARD = 2048, 4_000_000
@@ -134,8 +134,8 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int =
             seq, before, held = seq + 1, before + len(ids), []
             return row
 
-        for whole in trimmed(batches):
-            for batch in text_blocks(whole, "text"):
+        for whole in batches:
+            for batch in text_blocks(whole, "text", 1 << 25):
                 ids, offsets = encode(tokenizer, batch["text"], end_id)
                 null = batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
                 doc_ids, lengths = batch["doc_id"].fill_null(0).to_numpy().astype(np.int64), np.diff(offsets)
@@ -170,7 +170,7 @@ def load(spark, path: str) -> DataFrame:
 
         from idiomark.llm.common import blocks
 
-        for batch in trimmed(batches):
+        for batch in batches:
             for part, data in zip(batch["part"].to_pylist(), batch["data"], strict=True):
                 shard = data.as_py()
                 doc_ids, lengths, ids, null = read_shard(shard)

@@ -38,6 +38,36 @@ def public_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: A piece that is one word to the splitting pattern, whatever its version of Unicode.
+_ONE_WORD = r"^ ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+$"
+
+
+def _unsplit(path: str):
+    """The tokenizer without its splitting pattern, for pieces that are one word anyway."""
+    key = path + "#unsplit"
+    if key not in _loaded:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        _loaded[key] = t
+    return _loaded[key]
+
+
+def _encode_pieces(path: str, pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, lengths) of an Arrow array of short pieces."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    word = pc.match_substring_regex(pieces, _ONE_WORD).to_numpy(zero_copy_only=False)
+    parts = [(np.flatnonzero(word == w), t) for w, t in ((True, _unsplit(path)), (False, tokenizer(path)))]
+    done = [(at, *_encode(t, pieces.take(pa.array(at)).to_pylist())) for at, t in parts if len(at)]
+    ids, lengths = np.concatenate([x for _, x, _ in done]), np.concatenate([n for *_, n in done])
+    starts, order = np.cumsum(lengths) - lengths, np.argsort(np.concatenate([at for at, *_ in done]))
+    return _gather(ids, starts[order], lengths[order]), lengths[order]
+
+
 def _encode(t, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, lengths) of short pieces, none of them holding an inner line feed.
 
@@ -91,8 +121,8 @@ def _core(piece: str) -> str:
 class _Memory:
     """Ids of pieces. Pieces that a block repeats stay for later blocks of the process, up to a bound; the rest is forgotten."""
 
-    def __init__(self, t):
-        self.t = t
+    def __init__(self, path: str):
+        self.path = path
         self.clear()
 
     def clear(self) -> None:
@@ -118,7 +148,7 @@ class _Memory:
         order = np.argsort(np.bincount(which, weights=counts[missing]) < 2, kind="stable")
         kept = int((np.bincount(which, weights=counts[missing]) >= 2).sum())
         new = new.dictionary.take(pa.array(order))
-        ids, length = _encode(self.t, new.to_pylist())
+        ids, length = _encode_pieces(self.path, new)
         base, n = len(self.ids), len(self.start)
         place = np.empty(len(order), np.int64)
         place[order] = n + np.arange(len(order))
@@ -176,7 +206,7 @@ def _coded(path: str, t, texts, end: list[int]) -> tuple[np.ndarray, np.ndarray]
     n, m = len(bare), len(marks)
     counts = np.concatenate([np.bincount(index, minlength=len(words)), np.bincount(first, minlength=len(opening))])
     bare = pc.replace_with_mask(bare, pa.array(marked), pa.array(cores, bare.type))
-    ids, start, length = _memories.setdefault(path, _Memory(t)).find(pa.concat_arrays([bare, pa.array(marks, bare.type)]), np.concatenate([counts, counts[marked]]))
+    ids, start, length = _memories.setdefault(path, _Memory(path)).find(pa.concat_arrays([bare, pa.array(marks, bare.type)]), np.concatenate([counts, counts[marked]]))
     # Runs of a distinct piece: its line feed, its core, its marks; the last run of all is the end of a text.
     fixed = np.asarray(_ids(t, "\n") + end, np.uint32)
     runs = np.zeros((2, n + 1, 3), np.int64)
