@@ -35,7 +35,7 @@ from idiomark.llm import coder
 from idiomark.llm.common import partitions, read, scratch
 from idiomark.llm.tokens import encode, public_path, text_blocks
 
-BLOCK, SHARD = 2048, 4_000_000
+BLOCK, SHARD = 2048, 8_000_000
 MAGIC = b"IMT2"
 #: magic, block length, documents, bytes of the table, ids, ids before it in its partition, CRC-32 of the index
 HEADER = struct.Struct("<4sIIIQQI")
