@@ -599,9 +599,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             break
         left = left - 1 if grown else 0
         pairs = kept(pairs.union(more))
-    named = reps.join(comps, F.col("item") == F.col("v"), "left").select("item", "doc_id", F.coalesce("comp", "item").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component"))
-    of_item = kept(named.select("item", "comp").join(least, "comp").select(F.col("item").alias("_item"), "component"))
+    named = kept(reps.join(comps, F.col("item") == F.col("v"), "left").select("item", "doc_id", F.coalesce("comp", "item").alias("comp")))
+    least = named.groupBy(F.col("comp").alias("_comp")).agg(F.min("doc_id").alias("component"))
+    of_item = kept(salted_join(named.select("item", "comp"), "comp", least, "_comp").select(F.col("item").alias("_item"), "component"))
     rows = a.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("item")).alias("item"))
     return salted_join(rows, "item", of_item, "_item").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
