@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idiomark.llm import jaccard, langid, mixing, packing, toxicity
-from idiomark.llm.common import read, scratch
+from idiomark.llm.common import read, scratch, small_batches
 
 
 def _columns(docs: DataFrame) -> list:
@@ -69,6 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the last one's rows."""
+    small_batches(spark)
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = scratch(spark, f"stage{k}")

@@ -97,6 +97,13 @@ def blocks(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most so many rows from now on: the executor and its workers hold whole batches of texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def trim() -> None:
     """Gives memory that this process no longer uses back to the machine.
 

@@ -36,7 +36,7 @@ def encoded(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
         part, at = TaskContext.get().partitionId(), 0
         kind = "<u2" if max(tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for whole in trimmed(batches):
-            for batch in text_blocks(whole, "text"):
+            for batch in text_blocks(whole, "text", 1 << 22):
                 ids, offsets = encode(path, batch["text"], end_id)
                 raw = pa.py_buffer(ids.astype(kind).tobytes())
                 width = np.dtype(kind).itemsize
@@ -81,9 +81,9 @@ def pack(df: DataFrame, path: str | None = None, end_id: int = 1, window: int =
 
             raw, bounds = byte_view(whole["ids"])
             width = int(len(raw) // max(1, tokens.sum()))
-            flat = np.frombuffer(raw.tobytes(), f"<u{width}") if len(raw) else np.zeros(0, "<u2")
+            flat = raw.view(f"<u{width}") if len(raw) else np.zeros(0, "<u2")
             at = np.concatenate([[0], np.cumsum(length)])
-            for a, b in blocks(length, 1 << 22):
+            for a, b in blocks(length, 1 << 20):
                 part = flat[at[a] : at[b]].astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -93,7 +93,7 @@ def pack(df: DataFrame, path: str | None = None, end_id: int = 1, window: int =
                         pa.array(tokens[row[a:b]]),
                         pa.array(seq[a:b]),
                         pa.array(begin[a:b] - seq[a:b] * window),
-                        pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(((at[a : b + 1] - at[a]) * 4).astype(np.int32).tobytes()), pa.py_buffer(part.tobytes())]),
+                        pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(((at[a : b + 1] - at[a]) * 4).astype(np.int32).tobytes()), pa.py_buffer(part)]),
                     ],
                     names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
                 )
@@ -121,7 +121,8 @@ def sequences(pieces: DataFrame, window: int = 2048, pad_id: int = 0) -> DataFra
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from idiomark.llm.common import read
+    from idiomark.llm.common import read, small_batches
 
+    small_batches(spark)
     p = pack(read(spark, sf_dir, "documents"))
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
