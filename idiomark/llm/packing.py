@@ -36,7 +36,7 @@ def encoded(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
         part, at = TaskContext.get().partitionId(), 0
         kind = "<u2" if max(tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for whole in trimmed(batches):
-            for batch in text_blocks(whole, "text", 1 << 22):
+            for batch in text_blocks(whole, "text", 1 << 21):
                 ids, offsets = encode(path, batch["text"], end_id)
                 raw = pa.py_buffer(ids.astype(kind).tobytes())
                 width = np.dtype(kind).itemsize
