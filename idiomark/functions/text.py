@@ -22,6 +22,8 @@ NL = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 #: White space that is neither a single space between visible characters nor a line feed without spaces around it.
 IRREGULAR = rf"[{WS}&&[^ \n]]|  | \n|\n |\A |[ \n]\z"
 ADDRESS = r"://|@|-.*\p{Nd}|[\p{L}\p{N}]\.[\p{L}\p{N}]"
+#: What composition may change; and all that it can merge into the character before: marks, Hangul and Kirat Rai vowels, and what Java's tables may not know.
+COMPOSING, MERGING = r"[^\x00-\x{2FF}]", r"[\p{M}\p{Cn}\x{1100}-\x{11FF}\x{16D40}-\x{16D7F}]"
 
 
 def _normal(form: str):
@@ -43,7 +45,7 @@ _nfc, _nfd = _normal("NFC"), _normal("NFD")
 
 def nfc(c: Column) -> Column:
     """Composed form; only texts that may need it reach Python."""
-    return F.coalesce(_nfc(F.when(c.rlike(r"[^\x00-\x{2FF}]"), c)), c)
+    return F.coalesce(_nfc(F.when(c.rlike(COMPOSING), c)), c)
 
 
 def nfd(c: Column) -> Column:
@@ -100,15 +102,17 @@ def bounded(df: DataFrame, text: Column, out: str) -> DataFrame:
     """Adds the composed text that the window is cut from, without escapes, elisions and partial words.
 
     Composition shrinks a text to a third at most, so a second, wider cut is taken
-    only where the narrow one came back shorter than the window. Each step is a
-    column of its own, so that none is computed twice."""
+    only where the narrow one came back shorter than the window. It is made where the
+    narrow one, without all that can merge, is that short, so that other rows hold no
+    second cut and both are composed in one step. Each step is a column of its own, so
+    that none is computed twice."""
     size, n = HEAD + TAIL, lambda x: f"_{out}_{x}"
-    long = F.length(text)
-    d = df.withColumn(n("narrow"), ends(text, NARROW * HEAD, NARROW * TAIL)).withColumn(n("wide"), F.when(long > NARROW * size, ends(text, WIDE * HEAD, WIDE * TAIL)))
-    d = d.withColumn(n("narrow"), nfc(F.col(n("narrow"))))
-    short = F.length(n("narrow")) < size
-    d = d.withColumn(n("wide"), F.when(short, F.col(n("wide"))))
-    d = d.withColumn(out, F.coalesce(_nfc(F.col(n("wide"))), F.col(n("narrow")))).drop(n("narrow"), n("wide"))
+    narrow, wide = F.col(n("narrow")), F.col(n("wide"))
+    d = df.withColumn(n("narrow"), ends(text, NARROW * HEAD, NARROW * TAIL))
+    short = narrow.rlike(COMPOSING) & (F.length(F.regexp_replace(narrow, MERGING, "")) < size)
+    d = d.withColumn(n("wide"), F.when(short & (F.length(narrow) > NARROW * size), ends(text, WIDE * HEAD, WIDE * TAIL)))
+    d = d.withColumns({n("narrow"): nfc(narrow), n("wide"): nfc(wide)})
+    d = d.withColumn(out, F.coalesce(F.when(F.length(narrow) < size, wide), narrow)).drop(n("narrow"), n("wide"))
     d = d.withColumn(out, elide(unescape(F.col(out))))
     return d.withColumn(out, cut(F.col(out)))
 

@@ -49,11 +49,15 @@ def position(gap: Column, index: Column) -> Column:
     return F.when(start, START).when(gap.rlike(rf"[\n\r][{WS}]*\z"), LINE).otherwise(INSIDE)
 
 
-def tokens(text: Column) -> Column:
-    """Array of (w: as written, k: lower case, si: position code) of the words."""
+def tokens(text: Column, lex: Lexicon | None = None) -> Column:
+    """Array of (w: as written, k: lower case, si: position code) of the words; of a lexicon's markers alone, if it is given."""
     both = F.arrays_zip(runs(text).alias("w"), gaps(text).alias("g"))
-    placed = F.transform(both, lambda x, i: F.struct(x["w"].alias("w"), F.lower(x["w"]).alias("k"), position(x["g"], i).alias("si")))
-    return F.filter(placed, lambda t: is_word(t["w"]))
+
+    def placed(x, i):
+        wanted = is_word(x["w"]) if lex is None else is_marker(F.lower(x["w"]), lex) & is_word(x["w"])
+        return F.when(wanted, F.struct(x["w"].alias("w"), F.lower(x["w"]).alias("k"), position(x["g"], i).alias("si")))
+
+    return F.array_compact(F.transform(both, placed))
 
 
 def capitalised(w: Column) -> Column:

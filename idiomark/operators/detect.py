@@ -52,5 +52,5 @@ def detect(df: DataFrame, text: Column, lex: Lexicon | None = None, prefix: str
     n = lambda x: prefix + x
     d = windowed(df, text, n("window"))
     w = F.coalesce(F.col(n("window")), F.lit(""))
-    d = d.withColumn(n("tokens"), F.when(tk.candidates(w, lex), tk.tokens(w)).otherwise(F.array().cast(TOKEN))).drop(n("window"))
+    d = d.withColumn(n("tokens"), F.when(tk.candidates(w, lex), tk.tokens(w, lex)).otherwise(F.array().cast(TOKEN))).drop(n("window"))
     return _decided(d, n, lex).drop(n("tokens"), n("grounded"), n("matched"))

@@ -104,23 +104,27 @@ DIRECTIONALS = (
 def metamorphic(df: DataFrame, text: str, lex: Lexicon, relations: tuple[Relation, ...] = INVARIANCES + DIRECTIONALS, wanted: str | None = None) -> DataFrame:
     """relation, rows in its scope, violations, and whether it fails (also with too few rows in scope).
 
-    The first verdict is taken once. Each relation is a column beside it, so a text
-    is read once for all of them and never repeated as rows. A directional relation
-    holds for rows with its label; without a label column, for rows whose first
-    verdict is its label."""
+    The first verdict is taken once. Each relation that a text is in the scope of is a
+    row with no more of the changed text than the window is cut from, so that one
+    detector serves all relations, and what waits for its Python step is short. A
+    directional relation holds for rows with its label; without a label column, for
+    rows whose first verdict is its label."""
     d = detect(df.select(F.col(text).alias("_text"), *([F.col(wanted).alias("_wanted")] if wanted else [])).filter(F.col("_text").isNotNull()), F.col("_text"), lex, "_0")
     if not wanted:
         d = d.withColumn("_wanted", F.col("_0fire"))
-    for i, r in enumerate(relations):
-        d = detect(d.withColumn("_changed", r.change(F.col("_text"))), F.col("_changed"), lex, f"_{i + 1}").drop(f"_{i + 1}certain", "_changed")
-    parts = []
-    for i, r in enumerate(relations):
-        now, was = F.col(f"_{i + 1}fire"), F.col("_0fire")
+    scopes = []
+    for r in relations:
         scope = F.lit(True) if r.wanted is None else F.col("_wanted") == r.wanted
-        if r.most_chars:
-            scope = scope & (F.length("_text") <= r.most_chars)
+        scopes.append(scope & (F.length("_text") <= r.most_chars) if r.most_chars else scope)
+    d = d.select("_text", "_0fire", F.explode(F.array_compact(F.array(*[F.when(scope, F.lit(i)) for i, scope in enumerate(scopes)]))).alias("_i"))
+    at = [F.col("_i") == i for i in range(len(relations))]
+    d = d.withColumn("_changed", F.coalesce(*[F.when(here, r.change(F.when(here, F.col("_text")))) for here, r in zip(at, relations, strict=True)]))
+    d = detect(d.select("_i", "_0fire", "_changed"), F.col("_changed"), lex, "_1")
+    now, was = F.col("_1fire"), F.col("_0fire")
+    parts = []
+    for here, r in zip(at, relations, strict=True):
         wrong = (now != was) if r.wanted is None else (was & ~now) if r.wanted else (now & ~was)
-        parts.append(F.struct(F.lit(r.name).alias("relation"), F.count_if(scope).alias("n_rows"), F.count_if(scope & wrong).alias("violations")))
+        parts.append(F.struct(F.lit(r.name).alias("relation"), F.count_if(here).alias("n_rows"), F.count_if(here & wrong).alias("violations")))
     out = d.agg(F.array(*parts).alias("r")).select(F.explode("r").alias("r")).select("r.*")
     return out.withColumn("failed", (F.col("violations") > 0) | (F.col("n_rows") < LEAST_ROWS))
 

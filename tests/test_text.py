@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from idiomark.functions import lexicon as lx
 from idiomark.functions import text as tx
 from idiomark.functions import tokens as tk
+from idiomark.operators import evaluate
 from idiomark.operators.detect import detect, explain
 from idiomark.plans import fixtures as fx
 
@@ -138,6 +139,40 @@ def test_a_filter_on_the_verdict_is_not_evaluated_twice(spark):
     assert count(d.filter("fire").select("t", "certain")) <= count(d)
 
 
+def test_a_detector_over_many_relations_has_one_python_step(spark):
+    d = spark.createDataFrame([("the and der que",)] * 3 + [("the thing",), (None,)], "t string")
+    relations = evaluate.DIRECTIONALS + (evaluate.Relation("emptied", lambda t: F.lit(""), True), evaluate.Relation("same", lambda t: t))
+    got = evaluate.metamorphic(d, "t", lx.TRIAL, relations)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sum(line.lstrip(" +-:*()0123456789").startswith("ArrowEvalPython") for line in plan.splitlines()) == 2
+    rows = {r["relation"]: (r["n_rows"], r["violations"], r["failed"]) for r in got.collect()}
+    assert set(rows) == {r.name for r in relations}
+    assert rows["followed by a long log"] == (3, 0, True) and rows["append a pod name"] == (1, 0, True)
+    assert rows["emptied"] == (3, 3, True) and rows["same"] == (4, 0, True)
+
+
+def test_what_composition_merges_is_known(spark):
+    second = {d[-1] for c in map(chr, range(0x110000)) if not 0xAC00 <= ord(c) < 0xD7A4 and len(d := unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFC", d) == c}
+    second |= {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    d = spark.createDataFrame([(c,) for c in sorted(second)], "c string")
+    assert d.filter(~F.col("c").rlike(tx.MERGING)).count() == 0 and len(second) > 100
+
+
+def test_window_of_texts_that_shrink(spark):
+    def plain(t):
+        ends = lambda k: t[: k * tx.HEAD] + "\n" + t[-k * tx.TAIL :] if len(t) > k * (tx.HEAD + tx.TAIL) else t
+        n = unicodedata.normalize("NFC", ends(tx.NARROW))
+        if len(t) > tx.NARROW * (tx.HEAD + tx.TAIL) and len(n) < tx.HEAD + tx.TAIL:
+            n = unicodedata.normalize("NFC", ends(tx.WIDE))
+        return n
+
+    units = {"marks": "a\u0308\u0304. ", "jamo": "\u1100\u1161\u11a8", "three to one": "\u03b1\u0313\u0301", "half": "a\u0308", "emoji": "\U0001f642 ", "plain": "1 "}
+    rows = [(f"{n} {k}", (u * 60000)[:k] + "1" * 9) for n, u in units.items() for k in (5990, 11990, 11992, 13000, 47991, 50000)]
+    d = tx.bounded(spark.createDataFrame(rows, "n string, t string"), F.col("t"), "w")
+    want = spark.createDataFrame([(n, plain(t)) for n, t in rows], "n string, c string").select("n", tx.cut(F.col("c")).alias("c"))
+    assert {r["n"]: r["w"] for r in d.collect()} == {r["n"]: r["c"] for r in want.collect()}
+
+
 def test_generators_are_the_lexicon(spark):
     b = lx.bernese()
     made = lx.GENERATORS
